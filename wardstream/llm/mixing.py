@@ -52,12 +52,12 @@ def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(
     docs: DataFrame, weight: Column | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, size: Column | None = None,
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, epochs, taken.
 
     size is the text's number of words (null or empty: 0), taken the words the mix takes with
-    repeats counted: size * epochs, and one more time for those selected in key order; the document
+    repeats counted (`size` gives the sizes where they are known already): size * epochs, and one more time for those selected in key order; the document
     at the edge gives the words that are still missing. `weight` is a column of quality weights
     (null, not positive or not finite: 1). Documents of equal id get equal keys and are ordered by
     size; equal rows get shares that add up alike in every run. A null source is a source. The
@@ -70,7 +70,7 @@ def mix(
     given = F.coalesce(weight.cast("double"), F.lit(1.0)) if weight is not None else F.lit(1.0)
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rows = cut(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), word_count(F.col(text_col)).alias("size"), given.alias("w"), u.alias("u"))
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), (word_count(F.col(text_col)) if size is None else size.cast("long")).alias("size"), given.alias("w"), u.alias("u"))
         .withColumn("w", F.when((F.col("w") > 0) & (F.col("w") < float("inf")), F.col("w")).otherwise(1.0))
         .select("id", "source", "key", "size", (-F.log("u") / F.col("w")).alias("e"), "w")
     )

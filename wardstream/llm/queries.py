@@ -12,8 +12,9 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.quality_weight(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    out = mixing.mix(docs, F.col("quality_weight"))
+    # words are counted before the join with labels, so that no text is shuffled
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    out = mixing.mix(mixing.quality_weight(table(spark, sf_dir, "labels"), docs), F.col("quality_weight"), size=F.col("size"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
