@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, secrets, tokens, url_rules
+from . import chat, decontaminate, mixing, secrets, tokens, url_rules
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -88,3 +88,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_url_filter, op4_chat_format, op7_secret_scan)}
 ORACLES = {"op3_url_filter": OP3_SQL, "op4_chat_format": OP4_SQL}
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+QUERIES |= {"op8_decontaminate": op8_decontaminate}
