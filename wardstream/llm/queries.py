@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, secrets, tokens, url_rules
-from .common import table
+from . import chat, decontaminate, language, mixing, secrets, tokens, toxicity, url_rules
+from .common import crc_of_id, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -98,3 +98,20 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_decontaminate": op8_decontaminate}
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents"), F.pmod(crc_of_id(F.col("doc_id")), F.lit(4))
+    s = toxicity.Settings()
+    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels"), part != 2, s), s)
+    return toxicity.score_toxicity(docs, model).select("doc_id", (part == 2).alias("held_out"), "score", "predicted")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents"), F.pmod(crc_of_id(F.col("doc_id")), F.lit(5))
+    s = language.Settings()
+    model = language.fit(*language.sample(docs, part != 0, s), s)
+    return language.identify(docs, model).select("doc_id", (part == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES |= {"op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id}
