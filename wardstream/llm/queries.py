@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, secrets, tokens, toxicity, url_rules
+from . import chat, decontaminate, language, mixing, near_dup, secrets, tokens, toxicity, url_rules
 from .common import crc_of_id, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -115,3 +115,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id}
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op5_near_duplicates": op5_near_duplicates}
