@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, near_dup, secrets, tokens, toxicity, url_rules
+from . import chat, decontaminate, language, mixing, near_dup, secrets, tokens, toxicity, url_rules, vector_dup
 from .common import crc_of_id, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -122,3 +122,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_near_duplicates": op5_near_duplicates}
+
+
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op6_near_vectors": op6_near_vectors}
