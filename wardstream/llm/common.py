@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -118,3 +119,18 @@ class Buckets(dict):
 
     def __reduce__(self):
         raise TypeError("each process has its own")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet beside the checkpoints, where all executors see them, and read again."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or unnamed_folder())
+    to = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(to)
+    return df.sparkSession.read.parquet(to)
+
+
+def packed(df: DataFrame, *beside: str) -> DataFrame:
+    """Each row as a struct `row`, with some of its columns beside it: lets an operator that knows ids carry whole rows."""
+    return df.select(F.struct(*df.columns).alias("row"), *beside)
