@@ -1,0 +1 @@
+"""Clinical event and note analytics on Spark DataFrames."""
