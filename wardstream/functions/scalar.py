@@ -60,6 +60,11 @@ def bucket(c: Column, edges: Sequence[float], labels: Sequence[str], right: bool
     return out
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: keeps expressions small however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_number(text: Column) -> Column:
     """The first number in a text, thousands' commas dropped; null without one."""
     return F.regexp_extract(F.regexp_replace(text, ",", ""), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
@@ -87,10 +92,8 @@ def mean_pressure(sbp: Column, dbp: Column, digits: int = 1) -> Column:
 
 def contains_map(text: Column, pairs: Sequence[tuple[str, str]], other: Column) -> Column:
     """The value of the first key, in order, that the text holds."""
-    out = other
-    for key, value in reversed(pairs):
-        out = F.when(text.contains(key), F.lit(value)).otherwise(out)
-    return out
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in pairs])
+    return F.coalesce(F.get(F.filter(known, lambda p: text.contains(p["k"])), F.lit(0))["v"], other)
 
 
 def sorted_distinct(a: Column) -> Column:
