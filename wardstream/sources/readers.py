@@ -31,8 +31,7 @@ def documents(spark: SparkSession, root: str, schema: StructType | str | None =
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad lines): blank lines are skipped, and numbers such as `.367` are given their zero first."""
     lines = spark.read.text(path).where(F.trim("value") != "").withColumn("value", F.regexp_replace("value", r":\s*\.(\d)", ": 0.$1"))
-    schema = schema if isinstance(schema, str) else schema.simpleString()
-    parsed = lines.withColumn("r", F.from_json("value", F.schema_of_json(F.lit("{}")) if not schema else schema, {"mode": "PERMISSIVE"}))
+    parsed = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
     bad = F.col("r").isNull() | F.try_parse_json("value").isNull()
     return parsed.where(~bad).select("r.*"), parsed.where(bad).select("value")
 
