@@ -1,14 +1,18 @@
 """MinHash near-duplicates: a signature-coordinate inverted join, confirmed on full shingle sets.
 
 Texts with the same shingle set are one class from the start. Each class is posted under the first
-coordinates of its signature; a pair that agrees in `least` of `coords` coordinates must meet under
-one of the first coords - least + 1 (prefix), and is counted at the first of them only (skip).
+coordinates of its signature (prefix), and a pair is counted at the first of them only at which it
+meets (skip), over all coordinates.
 
 Pairs inside one posting list are never all emitted. First every class is compared with the
-smallest class that it meets most often; what is confirmed is joined into components. Then only
-lists that hold more than one component are read again, and only pairs across components count:
-pairs within one are reachable from each other already. What is lost is nothing but links that the
-smallest class id reachable doesn't depend on.
+smallest class that it meets most often; what is confirmed is joined into components. Then lists
+that hold more than one component are read again, and each class names the few likeliest partners
+in other components that it meets; what is confirmed joins more. Last, all pairs across the
+components left are candidates. Pairs within one component are reachable from each other already, so
+nothing is lost but links that the smallest class id reachable doesn't depend on.
+
+Agreement is counted twice: in the signature's coordinates, and for pairs that pass in a finer sketch
+of 512 bins (the smallest shingle of each, one byte), whose bound follows from its own variance.
 """
 
 from __future__ import annotations
@@ -17,9 +21,9 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import all_of, components, cut, few_rows, map_rows
 
@@ -28,8 +32,10 @@ from .common import all_of, components, cut, few_rows, map_rows
 class Settings:
     """Link where 100 * intersection >= percent * union.
 
-    A pair at 85 agrees in fewer than 18 of 32 coordinates about once in 100,000 times, and only
-    then a link may be missed. block: rows of a posting list that meet in one task; longer lists
+    A pair at 85 meets under none of 8 posted coordinates once in 4 million times, agrees in fewer
+    than 18 of 32 coordinates about once in 100,000 times, and falls below the bins' bound (4.5
+    standard deviations) less often; only then a link may be missed. partners: how many likely
+    partners a class names in a list before all pairs are looked at. block: rows of a posting list that meet in one task; longer lists
     are dealt over several. A list of ids of up to broadcast_rows rows is broadcast, a longer one joined by a shuffle.
     """
 
@@ -37,20 +43,18 @@ class Settings:
     words: int = 5
     coords: int = 32
     least: int = 18
+    posted: int = 8
+    partners: int = 2
     block: int = 2048
     broadcast_rows: int = 1_000_000
     seed: int = 3
 
-    @property
-    def prefix(self) -> int:
-        return self.coords - self.least + 1
-
 
 class WordHashes(dict):
     """64-bit hashes of words; forgets beyond a bound."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         v = self[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         return v
@@ -82,8 +86,17 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least.astype(np.uint32).view(np.int32)
 
 
+def binned(s: np.ndarray) -> bytes:
+    """For each of 512 ranges of hashes a byte of the smallest one in it, not 0; 0 where there is none."""
+    out = np.zeros(512, np.uint8)
+    at = (s >> np.uint64(55)).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    out[at[first]] = np.maximum(1, s[first] & np.uint64(0xFF))
+    return out.tobytes()
+
+
 def sketches(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, f1, f2, sig): size and 128-bit fingerprint of the full shingle set, and its signature; null ones for empty sets."""
+    """(id, n, f1, f2, sig, bins): size and 128-bit fingerprint of the full shingle set, and its sketches; null ones for empty sets."""
     rng = np.random.default_rng(s.seed)
     a, b = (rng.integers(0, 1 << 63, s.coords, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
     hashes = []
@@ -91,7 +104,7 @@ def sketches(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFr
     def rows(batch):
         if not hashes:
             hashes.append(WordHashes())
-        n, f1, f2, sig = [], [], [], []
+        n, f1, f2, sig, bins = [], [], [], [], []
         for t in batch.column(1).to_pylist():
             x = shingles(t, hashes[0], s.words)
             n.append(len(x))
@@ -99,9 +112,10 @@ def sketches(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFr
             f1.append(full[0])
             f2.append(full[1])
             sig.append(signature(x, a, b) if len(x) else None)
-        return {"id": batch.column(0), "n": n, "f1": f1, "f2": f2, "sig": sig}
+            bins.append(binned(x) if len(x) else None)
+        return {"id": batch.column(0), "n": n, "f1": f1, "f2": f2, "sig": sig, "bins": bins}
 
-    schema = StructType([StructField("id", docs.schema[id_col].dataType), *[StructField(c, LongType()) for c in ("n", "f1", "f2")], StructField("sig", ArrayType(IntegerType()))])
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *[StructField(c, LongType()) for c in ("n", "f1", "f2")], StructField("sig", ArrayType(IntegerType())), StructField("bins", BinaryType())])
     return map_rows(docs.select(id_col, text_col), rows, schema)
 
 
@@ -129,8 +143,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_
     return cut(common.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * s.percent).select("a", "b"))
 
 
-def agreeing(rows: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of different components that agree in at least s.least coordinates, from rows sorted by list and block."""
+def likely(i, j, n, bins, percent: int):
+    """Which pairs reach the bound in bins, and how far: matches / bins in use, less 4.5 standard deviations of a pair at percent."""
+    x, y = bins[i], bins[j]
+    used = ((x | y) != 0).sum(1)
+    share = ((x == y) & (x != 0)).sum(1) / used
+    p = percent / 100
+    union = np.maximum(used, (n[i] + n[j]) / (1 + p))
+    return share, share >= p - 4.5 * np.sqrt(p * (1 - p) / used * (1 - used / union)) - 1e-9
+
+
+def agreeing(rows: DataFrame, s: Settings, partners: int | None) -> DataFrame:
+    """Likely pairs (a, b) of different components, from rows sorted by list and part: all, or for each row its likeliest few."""
 
     def run(batches):
         import pyarrow as pa
@@ -138,39 +162,89 @@ def agreeing(rows: DataFrame, s: Settings) -> DataFrame:
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            cols = [t["list"].to_numpy(), t["part"].to_numpy(), t["coord"].to_numpy(), t["rep"].to_numpy(), t["comp"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, s.coords)]
+            cols = [t[c].to_numpy() for c in ("list", "part", "coord", "rep", "comp", "home", "n")]
+            cols.append(t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, s.coords))
+            cols.append(np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, 512))
             if rest is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
             # the last list may go on in the next batch
             new = (cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1])
             end = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
             rest = [x[end:] for x in cols]
-            yield from pairs([x[:end] for x in cols])
+            yield from told([x[:end] for x in cols])
         if rest is not None:
-            yield from pairs(rest)
+            yield from told(rest)
 
-    def pairs(cols):
+    def told(cols):
         import pyarrow as pa
 
-        lists, part, coord, rep, comp, home, sig = cols
+        rep, found = cols[3], [np.empty((0, 3))]
+        for i, j, share in pairs(cols):
+            if partners is not None:
+                # of each row only the best so far: both ends of a pair name each other
+                both = np.concatenate([np.stack([i, j, share], 1), np.stack([j, i, share], 1)])
+                found = [best(np.concatenate([*found, both]), partners)]
+            elif len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+        if len(f := found[0]):
+            i, j = f[:, 0].astype(int), f[:, 1].astype(int)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j]), pa.array(f[:, 2])], names=["a", "b", "share"])
+
+    def best(f, k):
+        f = f[np.lexsort((f[:, 1], -f[:, 2], f[:, 0]))]
+        start = np.flatnonzero(np.diff(f[:, 0], prepend=-1))
+        rank = np.arange(len(f)) - np.repeat(start, np.diff(np.append(start, len(f))))
+        return f[rank < k]
+
+    def pairs(cols):
+        lists, part, coord, rep, comp, home, n, sig, bins = cols
         at = np.arange(len(rep))
         for d in range(1, len(rep)):
             at = at[at + d < len(rep)]
             at = at[(lists[at] == lists[at + d]) & (part[at] == part[at + d])]
             if not len(at):
                 break
-            for k in range(0, len(at), 1 << 16):
-                i = at[k : k + (1 << 16)]
+            for k in range(0, len(at), 1 << 15):
+                i = at[k : k + (1 << 15)]
                 j = i + d
-                ok = (comp[i] != comp[j]) & (home[i] | home[j])
+                ok = (comp[i] != comp[j]) & (home[i] | home[j]) & (100 * np.minimum(n[i], n[j]) >= s.percent * np.maximum(n[i], n[j]))
                 i, j = i[ok], j[ok]
                 same = sig[i] == sig[j]
                 ok = (same.sum(1) >= s.least) & (same.argmax(1) == coord[i])
-                if ok.any():
-                    i, j = i[ok], j[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+                i, j = i[ok], j[ok]
+                if len(i):
+                    share, ok = likely(i, j, n, bins, s.percent)
+                    yield i[ok], j[ok], share[ok]
+
+    if partners is None:
+        return rows.mapInArrow(run, "a long, b long").distinct()
+    # of what a class has named in all its lists, the likeliest
+    best_of = Window.partitionBy("a").orderBy(F.desc("share"), "b")
+    named = rows.mapInArrow(run, "a long, b long, share double").withColumn("rank", F.row_number().over(best_of)).where(F.col("rank") <= partners + 1)
+    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def across(comp: DataFrame, sketch: DataFrame, s: Settings, partners: int | None = None) -> DataFrame:
+    """Likely pairs across components (rep, comp) that meet in a posting list.
+
+    Of a list longer than a block, the largest component is dealt over blocks, and the rest meets every block.
+    """
+    posts = comp.join(sketch.select("rep", "p"), "rep").select("rep", "comp", F.explode("p").alias("p")).select("rep", "comp", "p.coord", "p.list")
+    shares = posts.groupBy("list", "comp").agg(F.count("*").alias("n"))
+    several = cut(shares.groupBy("list").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("list", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"), F.col("most.comp").alias("most")))
+    own = F.pmod(F.xxhash64("rep", F.lit(s.seed)), F.col("blocks")).cast("int")
+    dealt = posts.join(several, "list").withColumn("own", own).withColumn(
+        "part", F.explode(F.when((F.col("blocks") == 1) | (F.col("comp") == F.col("most")), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    dealt = dealt.select("list", "part", "coord", "rep", "comp", (F.col("part") == F.col("own")).alias("home")).join(sketch.select("rep", "n", "sig", "bins"), "rep")
+    return agreeing(dealt.repartition("list", "part").sortWithinPartitions("list", "part"), s, partners)
+
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, comp) after the components at the ends of links have been joined."""
+    at = lambda side: comp.select(F.col("rep").alias(side), F.col("comp").alias(f"{side}_comp"))
+    c = components(links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    return cut(comp.join(c.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,30 +258,17 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     """
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     rows = cut(sketches(docs, s, id_col, text_col))
-    classes = cut(rows.where("f1 IS NOT NULL AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
-    coords = F.explode(F.transform(F.slice("sig", 1, s.prefix), lambda v, c: F.struct(c.alias("coord"), F.xxhash64(c, v).alias("list"))))
-    posts = classes.select("rep", coords.alias("p")).select("rep", "p.coord", "p.list")
+    classes = cut(rows.where("f1 IS NOT NULL AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bins").alias("bins")))
+    sketch = classes.withColumn("p", F.transform(F.slice("sig", 1, s.posted), lambda v, c: F.struct(c.alias("coord"), F.xxhash64(c, v).alias("list"))))
+    posts = sketch.select("rep", F.explode("p").alias("p")).select("rep", "p.coord", "p.list")
     lists = cut(posts.groupBy("list").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     met = posts.join(lists, "list").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
     best = met.groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best"))
-    first = confirmed(best.select((-F.col("best.hub")).alias("a"), F.col("rep").alias("b")), docs, s, id_col, text_col)
-    found = components(first)
-    comp = cut(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "sig"))
-
-    # lists with more than one component; of a long one the largest component is dealt over blocks, and the rest meets every block
-    posts = comp.select("rep", "comp", coords.alias("p")).select("rep", "comp", "p.coord", "p.list")
-    shares = posts.groupBy("list", "comp").agg(F.count("*").alias("n"))
-    several = cut(shares.groupBy("list").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("list", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"), F.col("most.comp").alias("most")))
-    own = F.pmod(F.xxhash64("rep", F.lit(s.seed)), F.col("blocks")).cast("int")
-    dealt = posts.join(several, "list").withColumn("own", own).withColumn(
-        "part", F.explode(F.when((F.col("blocks") == 1) | (F.col("comp") == F.col("most")), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
-    dealt = dealt.select("list", "part", "coord", "rep", "comp", (F.col("part") == F.col("own")).alias("home")).join(comp.select("rep", "sig"), "rep")
-    second = agreeing(dealt.repartition("list", "part").sortWithinPartitions("list", "part"), s)
-    more = confirmed(second, docs, s, id_col, text_col)
-    at = lambda side: comp.select(F.col("rep").alias(side), F.col("comp").alias(f"{side}_comp"))
-    joined = components(more.join(at("a"), "a").join(at("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
-    final = comp.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("component_id"))
+    alone = classes.select("rep", F.col("rep").alias("comp"))
+    comp = joined(alone, confirmed(best.select((-F.col("best.hub")).alias("a"), F.col("rep").alias("b")), docs, s, id_col, text_col))
+    comp = joined(comp, confirmed(across(comp, sketch, s, s.partners), docs, s, id_col, text_col))
+    comp = joined(comp, confirmed(across(comp, sketch, s), docs, s, id_col, text_col))
+    final = comp.select("rep", F.col("comp").alias("component_id"))
     of_class = cut(classes.select("f1", "f2", "rep").join(final, "rep").select("f1", "f2", "component_id"))
     # texts that were copied very often make a hot key: Spark's adaptive join splits it, as both sides are plain shuffles
     linked = rows.where("f1 IS NOT NULL AND id IS NOT NULL").select("id", "n", "f1", "f2").join(of_class, ["f1", "f2"]).select("id", "n", "component_id")
