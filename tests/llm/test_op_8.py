@@ -64,6 +64,7 @@ def test_odd_rows_and_several_blocks(spark, width, block):
     left = {r["doc_id"]: r["text"] for r in D.remove_benchmark(df, bench, 3).collect()}
     assert left[0] is None and left[3] == "" and left[4] == "  c" and left[8] == "a b" and left[7] == "q  q"
     assert D.remove_benchmark(df, bench, 3).columns == df.columns
+    assert {r["doc_id"]: r["text"] for r in D.remove_benchmark(df, bench, 3, block_bytes=5).collect()} == left
 
 
 def test_index_against_counting():

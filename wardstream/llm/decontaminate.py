@@ -24,6 +24,8 @@ BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 WORD = re.compile(rb"[^ ]+")
 #: Bytes of benchmark text that go to the tasks at once; a larger benchmark takes several passes.
 BLOCK_BYTES = 64 << 20
+#: Documents of one shard, in the pass that cuts.
+SHARD = 2000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -221,21 +223,36 @@ def without_spans(text: str, spans: list) -> str:
     return b"".join([*out, raw[end:]]).decode("utf-8", "surrogatepass")
 
 
-def remove_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with every occurrence of a window cut out of the text; nulls stay null."""
+def remove_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The same rows and columns with every occurrence of a window cut out of the text; nulls stay null.
+
+    A benchmark of one block, as usual, is searched and cut in one pass over whole rows. For a larger
+    one, the spans of all blocks are gathered first.
+    """
+    at, names, schema = docs.columns.index(text_col), docs.columns, docs.schema
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        held = docs.sparkSession.sparkContext.broadcast(Phrases(first, width))
+
+        def one_pass(batch):
+            texts = batch.column(at).to_pylist()
+            for k in range(0, len(texts), SHARD):
+                hits = search_shard(texts[k : k + SHARD], held.value)[1]
+                for d, hit in hits.items():
+                    texts[k + d] = without_spans(texts[k + d], spans_of(hit.copy()))
+            return {n: batch.column(i) for i, n in enumerate(names)} | {text_col: texts}
+
+        return map_rows(docs, one_pass, schema)
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("t"))
-    found = find_benchmark(packed, benchmark, width, id_col="row", text_col="t")
-    at, names = docs.columns.index(text_col), docs.columns
+    found = find_benchmark(packed, benchmark, width, id_col="row", text_col="t", item_col=item_col, item_text_col=item_text_col, block_bytes=block_bytes)
 
     def rows(batch):
-        row, spans = batch.column(0), batch.column(1).to_pylist()
-        cols = row.flatten()
+        cols, spans = batch.column(0).flatten(), batch.column(1).to_pylist()
         texts = cols[at].to_pylist()
         for i, s in enumerate(spans):
             if s:
                 texts[i] = without_spans(texts[i], s)
         return dict(zip(names, cols, strict=True)) | {text_col: texts}
 
-    return map_rows(found.select("row", "spans"), rows, docs.schema)
-
-
+    return map_rows(found.select("row", "spans"), rows, schema)
