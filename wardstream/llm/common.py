@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -104,23 +103,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels
 
 
-class Buckets(dict):
-    """Hash buckets of strings under a prefix, remembered up to a bound; `Buckets(kind, n)[string]`."""
-
-    def __init__(self, kind: str, n: int, most: int = 400_000):
-        super().__init__()
-        self.crc, self.n, self.most = zlib.crc32(kind.encode()), n, most
-
-    def __missing__(self, x: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        v = self[x] = zlib.crc32(x.encode("utf-8", "surrogatepass"), self.crc) % self.n
-        return v
-
-    def __reduce__(self):
-        raise TypeError("each process has its own")
-
-
 def written(df: DataFrame) -> DataFrame:
     """The rows written as Parquet beside the checkpoints, where all executors see them, and read again."""
     sc = df.sparkSession.sparkContext

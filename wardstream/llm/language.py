@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import Buckets, map_rows
+from . import subwords
+from .common import map_rows
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: A task forgets its words beyond this many, so that its memory stays bounded.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 @dataclass(frozen=True)
@@ -43,19 +44,12 @@ def words(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-class Features:
-    """Buckets of a word's features; one per process, as it remembers the buckets of affixes and n-grams."""
-
-    def __init__(self, lexicon: dict[str, list[int]], s: Settings):
-        self.lexicon, (self.word, self.start, self.end, self.gram, self.list) = lexicon, [Buckets(k, s.buckets) for k in "wpsgl"]
-
-    def __call__(self, word: str) -> list[int]:
-        w = f"<{word}>"
-        start, end, gram = self.start, self.end, self.gram
-        found = [self.word[word], start[w[:3]], start[w[:4]], end[w[-3:]], end[w[-4:]]]
-        found += [gram[w[i : i + 2]] for i in range(min(len(w) - 1, 200))]
-        found += [gram[w[i : i + 3]] for i in range(min(len(w) - 2, 200))]
-        return found + [self.list[str(k)] for k in self.lexicon.get(word, ())]
+def features(ws: list[str], lexicon: dict[str, list[int]], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of the words themselves, their affixes, n-grams and lexicons."""
+    x = subwords.Words(ws)
+    listed = [(k, i) for i, w in enumerate(ws) for k in lexicon.get(w, ())]
+    lists = np.array(listed, np.int64).reshape(-1, 2)
+    return subwords.buckets([x.whole(), *x.affixes(3), *x.affixes(4), x.grams(2), x.grams(3), (subwords.mixed(lists[:, 0].astype(np.uint64), 300), lists[:, 1])], s.buckets)
 
 
 def forward_backward(scores: np.ndarray, live: np.ndarray, start: np.ndarray, move: np.ndarray, pairs: bool = False):
@@ -92,12 +86,11 @@ class Model:
         self.ready()
 
     def ready(self) -> Model:
-        self.known, self.fresh = {}, []
-        self.table, self.features = np.zeros((1024, len(self.start))), Features(self.lexicon, self.s)
+        self.known, self.fresh, self.table = {}, [], np.zeros((1024, len(self.start)))
         return self
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "fresh", "table", "features")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "fresh", "table")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -107,17 +100,18 @@ class Model:
         i = self.known.get(w)
         if i is None:
             i = self.known[w] = len(self.known)
-            self.fresh.append(self.features(w))
+            self.fresh.append(w)
         return i
 
     def settle(self) -> None:
         """Scores of the words that are new since the last call."""
         if self.fresh:
-            n, size = len(self.known), np.array([len(f) for f in self.fresh])
+            n, new = len(self.known), len(self.fresh)
             while len(self.table) < n:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            flat = np.fromiter((x for f in self.fresh for x in f), np.int64, size.sum())
-            self.table[n - len(size) : n] = np.add.reduceat(self.weight[flat], np.cumsum(size) - size)
+            f, w = features(self.fresh, self.lexicon, self.s)
+            for k in range(self.table.shape[1]):
+                self.table[n - new : n, k] = np.bincount(w, self.weight[f, k], new)
             self.fresh = []
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -166,9 +160,7 @@ def fit(texts: list[str | None], langs: list[str], s: Settings = Settings()) ->
     known: dict[str, int] = {}
     half = 16
     pieces = [(np.array([known.setdefault(w, len(known)) for w in d[a : a + half]]), y) for d, y in docs for a in range(0, len(d), half)]
-    feats = [np.array(m.features(w), np.int64) for w in known]
-    flat, size = np.concatenate(feats), np.array([len(f) for f in feats])
-    word_of = np.repeat(np.arange(len(feats)), size)
+    flat, word_of = features(list(known), lexicon, s)
     k = len(labels)
     adapt = [np.full((s.buckets, k), 1e-6), np.full(k, 1e-6), np.full((k, k), 1e-6)]
     for _ in range(s.epochs):
@@ -185,7 +177,7 @@ def fit(texts: list[str | None], langs: list[str], s: Settings = Settings()) ->
                 want[r, : len(d)], want[r, len(d) : len(row)] = y, z
             live = live.astype(bool)
             used, at = np.unique(ids, return_inverse=True)
-            chosen = np.zeros(len(feats), bool)
+            chosen = np.zeros(len(known), bool)
             chosen[used] = True
             mask = chosen[word_of]
             f, w = flat[mask], np.searchsorted(used, word_of[mask])

@@ -15,7 +15,7 @@ from .common import map_rows
 #: How this kind of vocabulary cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: A task forgets its words beyond this many, so that its memory stays bounded.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def load_merges(path: str) -> tuple[dict[tuple[str, str], int], str, list[str]]:

@@ -17,18 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import Buckets, map_rows
+from . import subwords
+from .common import map_rows
 
 WORDS = re.compile(r"[^\W_]+")
 #: A task forgets its words beyond this many, so that its memory stays bounded.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 @dataclass(frozen=True)
 class Settings:
     """rows: at most about so many labelled texts of each class are fitted, chosen by a hash of their ids."""
 
-    rows: int = 1500
+    rows: int = 2500
     buckets: int = 1 << 16
     dim: int = 4
     window: int = 16
@@ -40,10 +41,10 @@ class Settings:
     seed: int = 11
 
 
-def grams(word: str, s: Settings) -> set[str]:
-    """The word itself and its character n-grams, ends marked; of very long words, the first 400 n-grams of each length."""
-    w = f"<{word}>"
-    return {w, *(w[i : i + n] for n in range(s.grams[0], s.grams[1] + 1) for i in range(min(len(w) - n + 1, 400)))}
+def features(ws: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of the words themselves and of their character n-grams, ends marked."""
+    x = subwords.Words(ws)
+    return subwords.buckets([x.whole(), *(x.grams(n) for n in range(s.grams[0], s.grams[1] + 1))], s.buckets)
 
 
 def words(text: str | None) -> list[str]:
@@ -63,30 +64,34 @@ class Model:
         self.s, self.embed, self.out = s, rng.normal(0, 0.1, (s.buckets, s.dim)), rng.normal(0, 0.5, (s.dim, 2))
         self.bias, self.scale, self.shift, self.known = np.zeros(2), 1.0, 0.0, {}
 
-    def word(self, w: str) -> float:
-        """The word's share of a window's logit."""
-        v = self.known.get(w)
-        if v is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            g = [self.bucket[x] for x in grams(w, self.s)]
-            v = self.known[w] = float(sum(self.one[x] for x in g) / len(g))
-        return v
-
     def ready(self) -> Model:
-        self.one = (self.embed @ (self.out[:, 1] - self.out[:, 0])).tolist()
-        self.known, self.bucket = {}, Buckets("", self.s.buckets)
+        self.one, self.known = self.embed @ (self.out[:, 1] - self.out[:, 0]), {}
         return self
 
-    def worst(self, text: str | None) -> float:
-        """The highest logit of any window; texts shorter than a window are padded with empty words."""
-        k, ws = self.s.window, words(text)
-        c = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.word, ws), float, len(ws)))])
-        top = (c[k:] - c[:-k]).max() if len(ws) > k else c[-1]
-        return float(top / k + self.bias[1] - self.bias[0])
+    def learn_words(self, docs: list[list[str]]) -> None:
+        """Remembers the share of each word in a window's logit."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(set().union(*docs).difference(self.known))
+        if new:
+            f, w = features(new, self.s)
+            n = len(new)
+            self.known |= zip(new, (np.bincount(w, self.one[f], n) / np.bincount(w, minlength=n)).tolist(), strict=True)
+
+    def worst(self, texts: list[str | None]) -> np.ndarray:
+        """The highest logit of any window of each text; texts shorter than a window are padded with empty words."""
+        k, docs, out = self.s.window, [words(t) for t in texts], []
+        self.learn_words(docs)
+        for ws in docs:
+            c = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.known.__getitem__, ws), float, len(ws)))])
+            out.append((c[k:] - c[:-k]).max() if len(ws) > k else c[-1])
+        return np.array(out) / k + self.bias[1] - self.bias[0]
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.worst(texts) + self.shift, -40, 40)))
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.scale * self.worst(text) + self.shift, -40, 40))))
+        return float(self.scores([text])[0])
 
 
 def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) -> Model:
@@ -99,10 +104,8 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) ->
         return m.ready()
     known: dict[str, int] = {}
     docs = [np.array([known.setdefault(w, len(known)) for w in words(t)], np.int64) for t in texts]
-    bucket = Buckets("", s.buckets)
-    feats = [np.array([bucket[x] for x in sorted(grams(w, s))], np.int64) for w in known]
-    flat, size = np.concatenate(feats), np.array([len(f) for f in feats])
-    word_of = np.repeat(np.arange(len(feats)), size)
+    flat, word_of = features(list(known), s)
+    size = np.bincount(word_of, minlength=len(known))
     # windows overlap by half; words beyond the end are empty
     half, empty = s.window // 2, len(known)
     spans, doc_of = [], []
@@ -148,14 +151,14 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) ->
                 b += 0.01 * (grad**2 - b)
                 setattr(m, k, getattr(m, k) - s.rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8))
         m.ready()
-        value = np.append(np.bincount(word_of, np.array(m.one)[flat], empty) / size, 0.0)[spans].mean(1) + m.bias[1] - m.bias[0]
+        value = np.append(np.bincount(word_of, m.one[flat], empty) / size, 0.0)[spans].mean(1) + m.bias[1] - m.bias[0]
         top = np.full(len(y), -np.inf)
         np.maximum.at(top, doc_of, value)
         # of toxic texts, the windows near the worst one; of the others, all
         keep = fitted[doc_of] & ((y[doc_of] == 0) | (value >= top[doc_of] - 0.3 * np.abs(top[doc_of])) & (value > 0) | (value == top[doc_of]))
     m.ready()
     held = [i for i in range(len(y)) if not fitted[i]]
-    x, want = np.array([m.worst(texts[i]) for i in held]), y[held]
+    x, want = m.worst([texts[i] for i in held]), y[held]
     m.scale, m.shift = calibrated(x, want)
     return m
 
@@ -202,9 +205,9 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, id_col
         if not made:
             m = Model.__new__(Model)
             (m.s, m.one, m.bias, m.scale, m.shift), m.known = held.value, {}
-            m.bucket = Buckets("", m.s.buckets)
             made.append(m)
-        score = [made[0].score(t) for t in batch.column(1).to_pylist()]
+        texts = batch.column(1).to_pylist()
+        score = [x for a in range(0, len(texts), 500) for x in made[0].scores(texts[a : a + 500]).tolist()]
         return {id_col: batch.column(0), "score": score, "predicted": [int(x >= threshold) for x in score]}
 
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
