@@ -34,7 +34,8 @@ class Words:
         h = np.zeros(len(self.codes), np.uint64)
         for i in range(n):
             h = h * K
-            h[: len(h) - i] += self.codes[i:]
+            if i < len(h):
+                h[: len(h) - i] += self.codes[i:]
         return h
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ REMEMBERED = 150_000
 class Settings:
     """rows: at most about so many labelled texts of each class are fitted, chosen by a hash of their ids."""
 
-    rows: int = 2500
+    rows: int = 2000
     buckets: int = 1 << 16
     dim: int = 4
     window: int = 16
@@ -104,7 +104,9 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) ->
         return m.ready()
     known: dict[str, int] = {}
     docs = [np.array([known.setdefault(w, len(known)) for w in words(t)], np.int64) for t in texts]
-    flat, word_of = features(list(known), s)
+    every, step = list(known), 20_000  # in parts, which bounds what hashing needs beside its result
+    found = [(f.astype(np.int32), (w + a).astype(np.int32)) for a in range(0, len(every), step) for f, w in [features(every[a : a + step], s)]]
+    flat, word_of = (np.concatenate([x[k] for x in found]) for k in (0, 1))
     size = np.bincount(word_of, minlength=len(known))
     # windows overlap by half; words beyond the end are empty
     half, empty = s.window // 2, len(known)
