@@ -59,3 +59,17 @@ def test_groups_chains_and_odd_rows(spark, s):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rep", F.lit("clash")).withColumn("n", F.lit(1))
     check(V.near_vectors(df, s).collect(), rows)
     assert V.near_vectors(df.limit(0), s).count() == 0
+
+
+@pytest.mark.parametrize("s", [V.Settings(blocks=1), V.Settings(blocks=1, chunk=2, tile=2)])
+def test_centres_with_the_largest_id(spark, s):
+    """Chains 1 - 3 - 2 in planes of their own and a star: the ends are linked through an id larger than theirs only."""
+    rows = []
+    for k in range(6):
+        for i, degrees in zip((1, 3, 2), np.radians([60 * k, 60 * k + 25, 60 * k + 50]), strict=True):
+            v = np.zeros(12)
+            v[2 * k : 2 * k + 2] = np.cos(degrees), np.sin(degrees)
+            rows.append((10 * k + i, v.tolist()))
+    one = np.eye(9)
+    rows += [(100 + i, (0.45 * one[i] + one[8]).tolist()) for i in range(8)] + [(108, one[8].tolist())]
+    check(V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), s).collect(), rows)

@@ -94,8 +94,20 @@ def linked(x: np.ndarray, y: np.ndarray, fx: np.ndarray, fy: np.ndarray, block:
     return i[ok], j[ok]
 
 
+def hung(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root, which names the smallest row of each row's component, after the components of rows i and j have been joined."""
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root != (up := root[root])).any():
+            root = up
+    return root
+
+
 def joined(pdf, s: Settings):
-    """Links among the rows of one slab and pair of chunks: for each row, how many vectors it is linked with here, and the smallest of them."""
+    """Links among the rows of one slab and pair of chunks: for each row, how many vectors it is linked with here, and the smallest of all that these links reach."""
     import pandas as pd
 
     pdf = pdf.sort_values(["home", "rep"], ascending=[False, True])  # guests last: two of them aren't compared here
@@ -103,7 +115,7 @@ def joined(pdf, s: Settings):
     x = np.array(pdf["vec"].tolist(), np.float64)
     f = unit(x) @ rotation(x.shape[1], s.seed)
     block, low, high = int(pdf["block"].iloc[0]), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
-    links, least = np.zeros(len(rep), np.int64), rep.copy()
+    links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
     tiles = [np.arange(a, min(a + s.tile, len(rep))) for a in range(0, len(rep), s.tile)]
     for u, one in enumerate(tiles):
         for two in tiles[u:] if home[one[0]] else []:
@@ -115,10 +127,10 @@ def joined(pdf, s: Settings):
             i, j = i[ok], j[ok]
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
-            np.minimum.at(least, i, rep[j])
-            np.minimum.at(least, j, rep[i])
-    some = links > 0
-    return pd.DataFrame({"rep": rep[some], "links": links[some], "least": least[some]})
+            root = hung(root, i, j)
+    some, least = links > 0, rep.copy()
+    np.minimum.at(least, root, rep)
+    return pd.DataFrame({"rep": rep[some], "links": links[some], "least": least[root][some]})
 
 
 def near_vectors(vectors: DataFrame, s: Settings = Settings(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
