@@ -88,3 +88,19 @@ def test_odd_rows(spark):
     left = N.drop_near_duplicates(df)
     assert left.columns == df.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 0, 1, 2, 3, 3, 5, 7, 8, 10, 11]
     assert N.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("large", [1, 120])
+def test_a_list_of_many_components(spark, monkeypatch, large):
+    """No group of rows that meet holds more than about two blocks, and yet all pairs across components are found."""
+    size, s = 300, N.Settings(block=20)
+    rows = [(i, max(i, large - 1), 600, list(range(s.coords)), b"\1" * 512, [(0, 77)]) for i in range(size)]
+    df = spark.createDataFrame(rows, "rep long, comp long, n long, sig array<int>, bins binary, p array<struct<coord: int, list: long>>")
+    comp, sketch = df.select("rep", "comp"), df.drop("comp")
+    want = {(i, j) for i in range(size) for j in range(i + 1, size) if j >= large}
+    found = N.across(comp, sketch, s).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+    monkeypatch.setattr(N, "agreeing", lambda rows, s, partners: rows)
+    dealt = N.across(comp, sketch, s)
+    groups = dealt.groupBy([x for x in ("list", "part", "low", "high") if x in dealt.columns]).count().collect()
+    assert max(r["count"] for r in groups) <= 4 * s.block

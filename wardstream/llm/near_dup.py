@@ -35,8 +35,8 @@ class Settings:
     A pair at 85 meets under none of 8 posted coordinates once in 4 million times, agrees in fewer
     than 18 of 32 coordinates about once in 100,000 times, and falls below the bins' bound (4.5
     standard deviations) less often; only then a link may be missed. partners: how many likely
-    partners a class names in a list before all pairs are looked at. block: rows of a posting list that meet in one task; longer lists
-    are dealt over several. A list of ids of up to broadcast_rows rows is broadcast, a longer one joined by a shuffle.
+    partners a class names in a list before all pairs are looked at. block: about so many rows of a posting list make a block; a longer
+    list is dealt over several, each pair of which meets once. A list of ids of up to broadcast_rows rows is broadcast, a longer one joined by a shuffle.
     """
 
     percent: int = 85
@@ -154,7 +154,7 @@ def likely(i, j, n, bins, percent: int):
 
 
 def agreeing(rows: DataFrame, s: Settings, partners: int | None) -> DataFrame:
-    """Likely pairs (a, b) of different components, from rows sorted by list and part: all, or for each row its likeliest few."""
+    """Likely pairs (a, b) of different components, from rows sorted by list and pair of blocks: all, or for each row its likeliest few."""
 
     def run(batches):
         import pyarrow as pa
@@ -162,13 +162,13 @@ def agreeing(rows: DataFrame, s: Settings, partners: int | None) -> DataFrame:
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            cols = [t[c].to_numpy() for c in ("list", "part", "coord", "rep", "comp", "home", "n")]
+            cols = [t[c].to_numpy() for c in ("list", "low", "high", "coord", "rep", "comp", "own", "n")]
             cols.append(t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, s.coords))
             cols.append(np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, 512))
             if rest is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
             # the last list may go on in the next batch
-            new = (cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1])
+            new = (cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1])
             end = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
             rest = [x[end:] for x in cols]
             yield from told([x[:end] for x in cols])
@@ -178,7 +178,7 @@ def agreeing(rows: DataFrame, s: Settings, partners: int | None) -> DataFrame:
     def told(cols):
         import pyarrow as pa
 
-        rep, found = cols[3], [np.empty((0, 3))]
+        rep, found = cols[4], [np.empty((0, 3))]
         for i, j, share in pairs(cols):
             if partners is not None:
                 # of each row only the best so far: both ends of a pair name each other
@@ -197,17 +197,17 @@ def agreeing(rows: DataFrame, s: Settings, partners: int | None) -> DataFrame:
         return f[rank < k]
 
     def pairs(cols):
-        lists, part, coord, rep, comp, home, n, sig, bins = cols
+        lists, low, high, coord, rep, comp, own, n, sig, bins = cols
         at = np.arange(len(rep))
         for d in range(1, len(rep)):
             at = at[at + d < len(rep)]
-            at = at[(lists[at] == lists[at + d]) & (part[at] == part[at + d])]
+            at = at[(lists[at] == lists[at + d]) & (low[at] == low[at + d]) & (high[at] == high[at + d])]
             if not len(at):
                 break
             for k in range(0, len(at), 1 << 15):
                 i = at[k : k + (1 << 15)]
                 j = i + d
-                ok = (comp[i] != comp[j]) & (home[i] | home[j]) & (100 * np.minimum(n[i], n[j]) >= s.percent * np.maximum(n[i], n[j]))
+                ok = (comp[i] != comp[j]) & ((own[i] != own[j]) | (low[i] == high[i])) & (100 * np.minimum(n[i], n[j]) >= s.percent * np.maximum(n[i], n[j]))
                 i, j = i[ok], j[ok]
                 same = sig[i] == sig[j]
                 ok = (same.sum(1) >= s.least) & (same.argmax(1) == coord[i])
@@ -227,17 +227,21 @@ def agreeing(rows: DataFrame, s: Settings, partners: int | None) -> DataFrame:
 def across(comp: DataFrame, sketch: DataFrame, s: Settings, partners: int | None = None) -> DataFrame:
     """Likely pairs across components (rep, comp) that meet in a posting list.
 
-    Of a list longer than a block, the largest component is dealt over blocks, and the rest meets every block.
+    Of a list longer than a block, the largest component and the rest are dealt into blocks of their own, a row into one.
+    Each pair of blocks meets once, but for those of the largest component: no group holds more than two blocks.
     """
     posts = comp.join(sketch.select("rep", "p"), "rep").select("rep", "comp", F.explode("p").alias("p")).select("rep", "comp", "p.coord", "p.list")
     shares = posts.groupBy("list", "comp").agg(F.count("*").alias("n"))
-    several = cut(shares.groupBy("list").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("list", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"), F.col("most.comp").alias("most")))
-    own = F.pmod(F.xxhash64("rep", F.lit(s.seed)), F.col("blocks")).cast("int")
-    dealt = posts.join(several, "list").withColumn("own", own).withColumn(
-        "part", F.explode(F.when((F.col("blocks") == 1) | (F.col("comp") == F.col("most")), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
-    dealt = dealt.select("list", "part", "coord", "rep", "comp", (F.col("part") == F.col("own")).alias("home")).join(sketch.select("rep", "n", "sig", "bins"), "rep")
-    return agreeing(dealt.repartition("list", "part").sortWithinPartitions("list", "part"), s, partners)
+    several = shares.groupBy("list").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / s.block).cast("int")
+    several = cut(several.select("list", (F.col("n") <= s.block).alias("whole"), F.col("most.comp").alias("most"), blocks(F.col("most.n")).alias("first"), blocks(F.col("n") - F.col("most.n")).alias("others")))
+    large, among = F.col("comp") == F.col("most"), lambda n: F.pmod(F.xxhash64("rep", F.lit(s.seed)), F.col(n)).cast("int")
+    own = F.when(F.col("whole"), 0).when(large, among("first")).otherwise(F.col("first") + among("others"))
+    last = F.col("first") + F.col("others") - 1
+    meets = F.when(F.col("whole"), F.array(F.lit(0))).when(large, F.sequence("first", last)).otherwise(F.sequence(F.lit(0), last))
+    dealt = posts.join(several, "list").withColumn("own", own).withColumn("other", F.explode(meets))
+    dealt = dealt.select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "coord", "rep", "comp", "own").join(sketch.select("rep", "n", "sig", "bins"), "rep")
+    return agreeing(dealt.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high"), s, partners)
 
 
 def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
