@@ -43,6 +43,23 @@ def test_toxicity_odd_rows(spark):
     assert 0 <= one.score("x") <= 1
 
 
+def test_toxicity_of_words_used_before():
+    """A passage at the end of a long text counts, though each of its words stands somewhere before it."""
+    bad, good = [f"grumble{c}" for c in "abcdefghijklmnop"], [f"garden{i}" for i in range(400)]
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(bad if i % 2 else good, 16, False)) for i in range(80)]
+    m = toxicity.fit(texts, [0, 1] * 40, toxicity.Settings(steps=30))
+    scattered = " ".join(w for i in range(16) for w in [*good[25 * i : 25 * i + 24], bad[i]])
+    passage = " ".join(bad)
+    assert m.score(scattered) < 0.5 < m.score(passage)
+    assert np.isclose(m.score(f"{scattered} {passage}"), m.score(passage))
+    ws = [*good[:20], *bad, *good[5:30], *bad[:4] * 6]
+    d = np.array([[*good, *bad].index(w) for w in ws])
+    value = rng.normal(size=len(good) + len(bad))
+    assert np.allclose(toxicity.window_sums(d, value, 16), [value[list(set(d[a : a + 16]))].sum() for a in range(len(d) - 15)])
+    assert toxicity.window_sums(d[:0], value, 16).tolist() == [0.0]
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in op10_language_id(spark, sf).collect()}

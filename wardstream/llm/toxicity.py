@@ -48,8 +48,26 @@ def features(ws: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(text: str | None) -> list[str]:
-    """The text's distinct words in the order in which they first appear: repeating a word doesn't make a text worse."""
-    return list(dict.fromkeys(WORDS.findall(text.lower()))) if text else []
+    return WORDS.findall(text.lower()) if text else []
+
+
+def numbered(texts: list[str | None], known: dict[str, int]) -> list[np.ndarray]:
+    """Each text's words as numbers; new ones are added to known."""
+    return [np.array([known.setdefault(w, len(known)) for w in words(t)], np.int32) for t in texts]
+
+
+def window_sums(d: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
+    """For each window of k words of d the sum of its words' values; a word that a window repeats counts once in it."""
+    n = len(d)
+    order = np.argsort(d, kind="stable")
+    before = np.full(n, -1)
+    again = d[order[1:]] == d[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    at = np.arange(n)
+    v = value[d]
+    # a word counts in the windows that begin after its last use and hold it
+    change = np.bincount(np.maximum(before + 1, np.maximum(at - k + 1, 0)), v, n + 1) - np.bincount(at + 1, v, n + 1)
+    return np.cumsum(change)[: max(1, n - k + 1)]
 
 
 def group_sum(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -68,11 +86,11 @@ class Model:
         self.one, self.known = self.embed @ (self.out[:, 1] - self.out[:, 0]), {}
         return self
 
-    def learn_words(self, docs: list[list[str]]) -> None:
+    def learn_words(self, used: dict[str, int]) -> None:
         """Remembers the share of each word in a window's logit."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*docs).difference(self.known))
+        new = [w for w in used if w not in self.known]
         if new:
             f, w = features(new, self.s)
             n = len(new)
@@ -80,11 +98,11 @@ class Model:
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
         """The highest logit of any window of each text; texts shorter than a window are padded with empty words."""
-        k, docs, out = self.s.window, [words(t) for t in texts], []
-        self.learn_words(docs)
-        for ws in docs:
-            c = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.known.__getitem__, ws), float, len(ws)))])
-            out.append((c[k:] - c[:-k]).max() if len(ws) > k else c[-1])
+        k, used = self.s.window, {}
+        docs = numbered(texts, used)
+        self.learn_words(used)
+        value = np.fromiter(map(self.known.__getitem__, used), float, len(used))
+        out = [window_sums(d, value, k).max() for d in docs]
         return np.array(out) / k + self.bias[1] - self.bias[0]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -103,12 +121,12 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) ->
         m.shift = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         return m.ready()
     known: dict[str, int] = {}
-    docs = [np.array([known.setdefault(w, len(known)) for w in words(t)], np.int64) for t in texts]
+    docs = numbered(texts, known)
     every, step = list(known), 20_000  # in parts, which bounds what hashing needs beside its result
     found = [(f.astype(np.int32), (w + a).astype(np.int32)) for a in range(0, len(every), step) for f, w in [features(every[a : a + step], s)]]
     flat, word_of = (np.concatenate([x[k] for x in found]) for k in (0, 1))
     size = np.bincount(word_of, minlength=len(known))
-    # windows overlap by half; words beyond the end are empty
+    # windows overlap by half; words beyond the end are empty, and so are a word's repetitions within a window
     half, empty = s.window // 2, len(known)
     spans, doc_of = [], []
     for i, d in enumerate(docs):
@@ -117,6 +135,10 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) ->
             spans.append(np.pad(w, (0, s.window - len(w)), constant_values=empty))
             doc_of.append(i)
     spans, doc_of = np.array(spans), np.array(doc_of)
+    again = np.zeros(spans.shape, bool)
+    for d in range(1, s.window):
+        again[:, d:] |= spans[:, d:] == spans[:, :-d]
+    spans[again] = empty
     fitted = np.arange(len(y)) % 4 != 3
     rng = np.random.default_rng(s.seed)
     keep = fitted[doc_of]
