@@ -104,3 +104,32 @@ def test_a_list_of_many_components(spark, monkeypatch, large):
     dealt = N.across(comp, sketch, s)
     groups = dealt.groupBy([x for x in ("list", "part", "low", "high") if x in dealt.columns]).count().collect()
     assert max(r["count"] for r in groups) <= 4 * s.block
+
+
+def test_ids_with_several_texts(spark):
+    """Rows of one id and different texts are one document: no row is doubled, and reruns agree."""
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (7, texts[0]), (8, texts[1]), (9, texts[2]), (9, None), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in N.near_duplicates(df.repartition(k)).collect()) for k in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    by = {r[0]: r[2] for r in got[0]}
+    assert by["5"] == "5" and by["9"] == "9" and {by["7"], by["8"]} in ({"5", "7"}, {"5", "8"}, {"5"})
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs just above the bound: each is found, of 3,000."""
+    rng = random.Random(8)
+    rows, n = [], 3000
+    for k in range(n):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(150, 400))]
+        t = base[:]
+        # of m shingles 5 go with each word changed: the share left is (m - 5c) / (m + 5c)
+        m = len(base) - 4
+        for at in rng.sample(range(5, len(base) - 5, 6), max(1, int(m * 0.15 / 1.85 / 5))):
+            t[at] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(t))]
+    want = {i: c for i, (_, c) in brute(dict(rows)).items()}
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert sum(i != c for i, c in want.items()) > 0.9 * n
+    assert got == want

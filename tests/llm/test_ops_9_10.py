@@ -60,6 +60,95 @@ def test_toxicity_of_words_used_before():
     assert toxicity.window_sums(d[:0], value, 16).tolist() == [0.0]
 
 
+def test_toxicity_gradients():
+    """Derivatives against finite differences, in a window that repeats a word and one with empty words."""
+    s = toxicity.Settings(buckets=64, dim=3, window=4)
+    known: dict[str, int] = {}
+    docs = toxicity.numbered(["a bad bad thing here", "good", "so good a day", "bad day"], known)
+    words = toxicity.Words(known, s)
+    win, doc = toxicity.half_windows(docs, s, len(known))
+    m, want = toxicity.Model(s), np.array([1, 0, 0, 1])[doc]
+    _, grads = toxicity.gradients(m, words, win, want)
+    for name in ("embed", "out", "bias"):
+        value, numeric = getattr(m, name), np.zeros_like(getattr(m, name))
+        for at in np.ndindex(value.shape):
+            loss = []
+            for step in (1e-5, -1e-5):
+                value[at] += step
+                loss.append(toxicity.gradients(m, words, win, want)[0])
+                value[at] -= step
+            numeric[at] = (loss[0] - loss[1]) / 2e-5
+        assert np.allclose(grads[name], numeric, atol=1e-7), name
+
+
+def test_toxicity_query_is_the_worst_window(spark):
+    """The query's scores against a plain loop over all windows of each whole text, by the same model."""
+    from wardstream.llm.common import crc_of_id
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learn = F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) != 2
+    m = toxicity.fit_sample(docs, labels, learn)
+    rows = toxicity.sample(docs, labels, learn, toxicity.Settings()).collect()
+    own = toxicity.fit([r["t"] for r in sorted(rows, key=lambda r: (r["key"], r["t"] or "", r["y"]))], [r["y"] for r in sorted(rows, key=lambda r: (r["key"], r["t"] or "", r["y"]))])
+    assert np.allclose(own.one, m.one) and (own.scale, own.shift) == (m.scale, m.shift)
+    k = m.s.window
+
+    def plain(text):
+        ws = toxicity.words(text)
+        value = {}
+        for w in set(ws):
+            f, _ = toxicity.features([w], m.s)
+            value[w] = m.one[f].mean()
+        worst = max(sum(value[w] for w in set(ws[a : a + k])) for a in range(max(1, len(ws) - k + 1)))
+        return 1 / (1 + np.exp(-np.clip(m.scale * (worst / k + m.bias[1] - m.bias[0]) + m.shift, -40, 40)))
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in op9_toxicity(spark, sf).collect():
+        assert np.isclose(r["score"], plain(texts[r["doc_id"]])), r["doc_id"]
+
+
+def test_language_query_is_forward_backward(spark):
+    """The query against its own model applied to one text at a time, with marginals by plain sums over chains."""
+    from wardstream.llm.common import crc_of_id
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = language.fit_sample(docs, F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) != 0)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    def plain(text):
+        ws = language.words(text)
+        if not ws:
+            return "und", 0.0
+        total = np.zeros(len(m.labels))
+        for a in range(0, len(ws), m.s.chain):
+            part = ws[a : a + m.s.chain]
+            f, w = language.features(part, m.lexicon, m.s)
+            scores = np.stack([np.bincount(w, m.weight[f, c], len(part)) for c in range(len(m.labels))], 1)
+            alpha = [np.exp(m.start + scores[0])]
+            for x in scores[1:]:
+                y = (alpha[-1] @ np.exp(m.move)) * np.exp(x)
+                alpha.append(y / y.sum())
+            beta = [np.ones(len(m.labels))]
+            for x in scores[:0:-1]:
+                y = np.exp(m.move) @ (np.exp(x) * beta[-1])
+                beta.append(y / y.sum())
+            post = np.array(alpha) * np.array(beta[::-1])
+            total += (post / post.sum(1, keepdims=True)).sum(0)
+        return m.labels[int(total.argmax())], total.max() / len(ws)
+
+    for r in op10_language_id(spark, sf).collect():
+        lang, score = plain(texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and np.isclose(r["score"], score), r["doc_id"]
+
+
+def test_numbers_are_no_letters():
+    assert language.words("½ ² ① Ⅳ 12") == [] and language.words("a½b é2") == ["a", "b", "é"]
+    m = language.fit(["the cat", "der Hund"] * 10, ["en", "de"] * 10)
+    assert m.predict(["½ ²", "①"]) == (["und", "und"], [0.0, 0.0])
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in op10_language_id(spark, sf).collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -21,11 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: StructType) -> DataFrame:
-    """`mapInArrow` with one function from a batch to a dict of equally long columns.
+#: Rows and bytes that a function of map_rows sees at once: what a Python worker needs beside Spark's own batch.
+PIECE_ROWS, PIECE_BYTES = 1000, 8 << 20
 
-    Spark bounds a batch by rows and by bytes (spark.sql.execution.arrow.maxBytesPerBatch),
-    so that memory doesn't depend on how the input is split.
+
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `most` rows and, as far as its rows are alike in size, PIECE_BYTES."""
+    step = max(1, min(most, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes)))
+    return (batch.slice(a, step) for a in range(0, batch.num_rows, step))
+
+
+def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: StructType, most: int = PIECE_ROWS) -> DataFrame:
+    """`mapInArrow` with one function from a piece of a batch to a dict of equally long columns.
+
+    Spark bounds a batch by rows and by bytes (spark.sql.execution.arrow.maxBytesPerBatch), and a
+    piece is smaller yet, so that memory doesn't depend on how the input is split.
     """
     names = [(f.name, f.dataType) for f in schema]
 
@@ -34,10 +44,9 @@ def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: Stru
 
         to = to_arrow_schema(schema)
         for batch in batches:
-            out = rows(batch)
-            yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c := out[name], pa.Array) else pa.array(c, type=to.field(name).type) for name, _ in names], schema=to
-            )
+            for piece in pieces(batch, most):
+                out = rows(piece)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c := out[name], pa.Array) else pa.array(c, type=to.field(name).type) for name, _ in names], schema=to)
 
     return df.mapInArrow(run, schema)
 
@@ -69,6 +78,21 @@ def crc_of_id(c: Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
+    """What fit makes of the rows of a bounded sample, in one task of an executor: the driver gets the model alone.
+
+    The rows come sorted, whatever the order in which they arrive; nulls come first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        rows.sort(key=lambda r: [(x is not None, x if x is not None else 0) for x in r])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit([])
+
+
 def few_rows(df: DataFrame, most: int) -> bool:
     """True if there are at most that many rows; looks at no more than one row beyond."""
     return df.limit(most + 1).count() <= most

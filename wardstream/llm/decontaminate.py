@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index for each training shard.
 
-A shard is one Arrow batch of documents. Its words become symbols of the benchmark's vocabulary;
+A shard is a part of an Arrow batch of documents. Its words become symbols of the benchmark's vocabulary;
 words that the benchmark never uses are breaks, and a run between breaks that is shorter than the
 shortest phrase can hold none, so the index is built over the other runs. Phrases are searched
 backwards, all at once, through the ranks of a wavelet matrix over the Burrows-Wheeler transform;
@@ -22,9 +22,9 @@ from .common import map_rows
 #: A-Z to a-z; digits, a-z and all beyond ASCII stay; the rest is space.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[^ ]+")
-#: Bytes of benchmark text that go to the tasks at once; a larger benchmark takes several passes.
-BLOCK_BYTES = 64 << 20
-#: Documents of one shard, in the pass that cuts.
+#: Bytes of benchmark text that go to the tasks at once, some 700,000 windows; a larger benchmark takes several passes.
+BLOCK_BYTES = 4 << 20
+#: Documents of one shard at most.
 SHARD = 2000
 
 
@@ -39,7 +39,7 @@ class WaveletMatrix:
         self.levels = []
         for bit in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
             one = (symbols >> bit & 1).astype(bool)
-            ones = np.concatenate([[0], np.cumsum(one, dtype=np.int64)])
+            ones = np.concatenate([[0], np.cumsum(one)]).astype(np.int32)
             self.levels.append((bit, ones, len(symbols) - int(ones[-1])))
             symbols = np.concatenate([symbols[~one], symbols[one]])
 
@@ -96,21 +96,37 @@ class FMIndex:
 
 
 class Phrases:
-    """The distinct windows of a block of benchmark items, and the items that each belongs to."""
+    """The distinct windows of a block of benchmark items, and the items that each belongs to, as arrays.
+
+    table holds the windows, right-aligned, in `lengths` words each; window k belongs to the items
+    names[owner[first[k]:first[k + 1]]].
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for name, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text))
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                found.setdefault(ids[i : i + width], set()).add(name)
-        self.names = sorted({x for s in found.values() for x in s})
+        self.names = sorted({name for name, _ in items})
         number = {x: i for i, x in enumerate(self.names)}
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.table = np.array([(0,) * (width - len(p)) + p for p in found], np.int64).reshape(len(found), width)
-        self.items = [np.array(sorted(number[x] for x in s)) for s in found.values()]
-        self.shortest = int(self.lengths.min()) if found else 0
+        texts = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(t)], np.int32) for _, t in items]
+        # items stand end to end, with room before each for the zeros of one that is short
+        flat = np.concatenate([np.zeros(0, np.int32), *[np.pad(t, (max(0, width - len(t)), 0)) for t in texts if len(t)]])
+        sizes = np.array([max(width, len(t)) for t in texts if len(t)], np.int64)
+        start = np.cumsum(sizes) - sizes
+        item = np.repeat(np.array([number[name] for (name, _), t in zip(items, texts, strict=True) if len(t)], np.int32), sizes)
+        at = np.flatnonzero(np.arange(len(flat)) + width <= np.repeat(start + sizes, sizes))
+        every = np.lib.stride_tricks.sliding_window_view(flat, width)[at] if len(at) else np.zeros((0, width), np.int32)
+        order = np.lexsort((item[at], *every.T[::-1]))
+        every, item = every[order], item[at][order]
+        new = np.ones(len(every), bool)
+        new[1:] = (every[1:] != every[:-1]).any(1)
+        fresh = new.copy()
+        fresh[1:] |= item[1:] != item[:-1]
+        self.table, self.owner = every[new], item[fresh]
+        self.lengths = (self.table > 0).sum(1)
+        self.first = np.append(np.flatnonzero(new[fresh]), len(self.owner))
+        self.shortest = int(self.lengths.min()) if len(self.table) else 0
+
+    def items(self, window: int) -> list[int]:
+        return self.owner[self.first[window] : self.first[window + 1]].tolist()
 
 
 def spans_of(hit: np.ndarray) -> list[dict]:
@@ -155,7 +171,7 @@ def search_shard(texts: list[str | None], p: Phrases) -> tuple[list[int], dict[i
     offset = np.concatenate([[0], np.cumsum(np.array(sizes) + 1)])
     doc = np.searchsorted(offset, at, "right") - 1
     for pair in np.unique(doc * len(p.lengths) + which):
-        items.setdefault(int(pair) // len(p.lengths), set()).update(p.items[int(pair) % len(p.lengths)].tolist())
+        items.setdefault(int(pair) // len(p.lengths), set()).update(p.items(int(pair) % len(p.lengths)))
     for d in items:
         hits[d] = hit[offset[d] : offset[d + 1] - 1]
         items[d] = sorted(p.names[i] for i in items[d])
@@ -207,7 +223,7 @@ def find_benchmark(
                 spans[d], names[d] = spans_of(hit), sorted({*names[d], *items[d]})
             return {id_col: batch.column(0), "text": batch.column(1), "n_words": sizes, "spans": spans, "items": names}
 
-        out = map_rows(out, rows, schema)
+        out = map_rows(out, rows, schema, SHARD)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select(id_col, *["text"] * keep_text, "n_words", n_hit.alias("n_hit"), "spans", "items")
 
@@ -226,6 +242,10 @@ def without_spans(text: str, spans: list) -> str:
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The same rows and columns with every occurrence of a window cut out of the text; nulls stay null.
 
+    Empty texts stay empty, a text that is all benchmark becomes empty, repeated rows and whatever
+    other columns there are stay as they are; an empty benchmark changes nothing. A long text is
+    searched as a whole.
+
     A benchmark of one block, as usual, is searched and cut in one pass over whole rows. For a larger
     one, the spans of all blocks are gathered first.
     """
@@ -237,13 +257,11 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, tex
 
         def one_pass(batch):
             texts = batch.column(at).to_pylist()
-            for k in range(0, len(texts), SHARD):
-                hits = search_shard(texts[k : k + SHARD], held.value)[1]
-                for d, hit in hits.items():
-                    texts[k + d] = without_spans(texts[k + d], spans_of(hit.copy()))
+            for d, hit in search_shard(texts, held.value)[1].items():
+                texts[d] = without_spans(texts[d], spans_of(hit.copy()))
             return {n: batch.column(i) for i, n in enumerate(names)} | {text_col: texts}
 
-        return map_rows(docs, one_pass, schema)
+        return map_rows(docs, one_pass, schema, SHARD)
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("t"))
     found = find_benchmark(packed, benchmark, width, id_col="row", text_col="t", item_col=item_col, item_text_col=item_text_col, block_bytes=block_bytes)
 

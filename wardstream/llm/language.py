@@ -7,6 +7,7 @@ text by forward-backward. A text's language is the one with the highest mean mar
 
 from __future__ import annotations
 
+import copy
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import subwords
-from .common import map_rows
+from .common import fitted, map_rows
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -27,10 +28,12 @@ REMEMBERED = 150_000
 
 @dataclass(frozen=True)
 class Settings:
-    """rows: about so many texts of each language at most are fitted, chosen by a hash of their ids, with up to words words each."""
+    """What is fitted is a sample of labelled rows, chosen by a hash of their ids: of each language about `rows` texts and
+    `volume` bytes at most, from texts of up to `longest` bytes. A chosen text is fitted as a whole."""
 
     rows: int = 400
-    words: int = 320
+    volume: int = 800_000
+    longest: int = 50_000
     buckets: int = 1 << 16
     chain: int = 64
     lexicon: int = 200
@@ -41,7 +44,9 @@ class Settings:
 
 
 def words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters; what counts as a number only, such as ½ or ①, is no letter."""
+    found = LETTERS.findall(text.lower()) if text else []
+    return found if all(map(str.isalpha, found)) else [x for w in found for x in ("".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def features(ws: list[str], lexicon: dict[str, list[int]], s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +149,7 @@ def fit(texts: list[str | None], langs: list[str], s: Settings = Settings()) ->
     """Trains on texts that are mostly in one language each; half of the chains are joined from two texts, so that switches are seen."""
     labels = sorted(set(langs))
     number = {x: i for i, x in enumerate(labels)}
-    docs = [(words(t)[: s.words], number[y]) for t, y in zip(texts, langs, strict=True)]
+    docs = [(words(t), number[y]) for t, y in zip(texts, langs, strict=True)]
     docs = [(d, y) for d, y in docs if d]
     heard = [Counter() for _ in labels]
     for d, y in docs:
@@ -195,33 +200,42 @@ def fit(texts: list[str | None], langs: list[str], s: Settings = Settings()) ->
     return m.ready()
 
 
-def sample(docs: DataFrame, learn: Column, s: Settings, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list, list]:
-    """About s.rows texts of each language at most, by a hash of the id; null languages and texts are left out."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & learn).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
-    count = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    if not count:
-        return [], []
-    most = F.create_map(*[F.lit(x) for y, n in sorted(count.items()) for x in (y, s.rows / n)])
+def sample(docs: DataFrame, learn: Column, s: Settings, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(key, t, y): the rows to fit, bounded as Settings says; null languages and texts are left out.
+
+    How many rows and bytes there are of each language is counted over all of them. Languages are few
+    by nature: one row for each comes to the driver.
+    """
+    size = F.octet_length(text_col)
+    known = docs.where(F.col(lang_col).isNotNull() & (size <= s.longest) & learn).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
+    have = known.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("bytes")).collect()
+    share = {r["y"]: min(s.rows / r["n"], s.volume / max(1, r["bytes"])) for r in have}
+    most = F.create_map(*[F.lit(x) for y in sorted(share) for x in (y, float(share[y]))]) if share else F.create_map(F.lit(""), F.lit(0.0))
     part = F.pmod(F.xxhash64("i", F.lit(s.seed)), F.lit(1_000_000)) / 1e6
-    rows = sorted((r["i"] or "", r["t"], r["y"]) for r in known.where(part < most[F.col("y")]).collect())
-    return [r[1] for r in rows], [r[2] for r in rows]
+    return known.where(part < most[F.col("y")]).select(F.crc32(F.coalesce("i", F.lit("")).cast("binary")).alias("key"), "t", "y")
+
+
+def fit_sample(docs: DataFrame, learn: Column, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """The model of a bounded sample, fitted in one task of an executor."""
+    return fitted(sample(docs, learn, s, id_col, text_col, lang_col), lambda rows: fit([t for _, t, _ in rows], [y for *_, y in rows], s))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, lang_pred, score (mean marginal of the predicted language over all words).
 
     Whole texts, cut into chains of at most Settings.chain words. A null text, or one without a
-    letter, is `und` with score 0. The model, whose size doesn't depend on the data, goes to the tasks.
+    letter, is `und` with score 0; of languages that are equally likely the first by name is taken.
+    Equal texts get equal answers, whatever their ids; repeated rows get one each, and a null id
+    stays. The model, whose size doesn't depend on the data, goes to the tasks. Other columns,
+    whatever their names, are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, made = docs.sparkSession.sparkContext.broadcast(model), []
 
     def rows(batch):
-        texts, lang, score = batch.column(1).to_pylist(), [], []
-        for a in range(0, len(texts), 500):
-            x, y = held.value.predict(texts[a : a + 500])
-            lang += x
-            score += y
+        if not made:
+            made.append(copy.copy(held.value).ready())  # the words that a task remembers go with it
+        lang, score = made[0].predict(batch.column(1).to_pylist())
         return {id_col: batch.column(0), "lang_pred": lang, "score": score}
 
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return map_rows(docs.select(id_col, F.col(text_col)), rows, schema)
+    return map_rows(docs.select(id_col, F.col(text_col)), rows, schema, 500)

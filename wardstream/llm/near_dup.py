@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import all_of, components, cut, few_rows, map_rows
+from .common import components, cut, few_rows, map_rows
 
 
 @dataclass(frozen=True)
@@ -33,8 +33,9 @@ class Settings:
     """Link where 100 * intersection >= percent * union.
 
     A pair at 85 meets under none of 8 posted coordinates once in 4 million times, agrees in fewer
-    than 18 of 32 coordinates about once in 100,000 times, and falls below the bins' bound (4.5
-    standard deviations) less often; only then a link may be missed. partners: how many likely
+    than 17 of 32 coordinates once in 280,000 times, and falls below the bins' bound (4.5 standard
+    deviations) about as often; only then a link may be missed. A pair at 80 meets under none once in
+    400,000 times, and agrees in fewer than 15 once in 150,000. partners: how many likely
     partners a class names in a list before all pairs are looked at. block: about so many rows of a posting list make a block; a longer
     list is dealt over several, each pair of which meets once. A list of ids of up to broadcast_rows rows is broadcast, a longer one joined by a shuffle.
     """
@@ -42,7 +43,7 @@ class Settings:
     percent: int = 85
     words: int = 5
     coords: int = 32
-    least: int = 18
+    least: int = 17
     posted: int = 8
     partners: int = 2
     block: int = 2048
@@ -131,7 +132,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, s: Settings, id_col: str, text_col:
         return {"id": batch.column(0), "set": [shingles(t, hashes[0], s.words).view(np.int64) for t in batch.column(1).to_pylist()]}
 
     schema = StructType([StructField("id", texts.schema["id"].dataType), StructField("set", ArrayType(LongType()))])
-    return map_rows(named, rows, schema).dropDuplicates(["id"])
+    # of an id with several texts one set, whichever row comes first
+    return map_rows(named, rows, schema).groupBy("id").agg(F.max("set").alias("set"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -258,11 +260,17 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     texts have an empty set and are linked with nothing. component_id is the smallest id reachable
     over links; kept marks the rows that have it as their id. Ids are whole numbers; rows of a null
     id belong to no group (component_id null) and are kept, and so are all rows of an id that is
-    kept: repeated rows count as one document. Other columns are not read.
+    kept: repeated rows count as one document. If their texts differ, that of the least fingerprint
+    stands for the document, and n_shingles is each row's own. Texts count whole, however long; ties
+    have no say, as only the smallest id counts. Other columns, whatever their names, are not read;
+    the empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     rows = cut(sketches(docs, s, id_col, text_col))
-    classes = cut(rows.where("f1 IS NOT NULL AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bins").alias("bins")))
+    chosen = cut(rows.where("f1 IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("f")).select("id", "f.f1", "f.f2"))
+    named = chosen.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
+    classes = rows.where("f1 IS NOT NULL AND id IS NOT NULL").groupBy("f1", "f2").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bins").alias("bins"))
+    classes = cut(classes.join(named, ["f1", "f2"]).select("f1", "f2", "rep", "n", "sig", "bins"))
     sketch = classes.withColumn("p", F.transform(F.slice("sig", 1, s.posted), lambda v, c: F.struct(c.alias("coord"), F.xxhash64(c, v).alias("list"))))
     posts = sketch.select("rep", F.explode("p").alias("p")).select("rep", "p.coord", "p.list")
     lists = cut(posts.groupBy("list").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"))
@@ -275,12 +283,16 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     final = comp.select("rep", F.col("comp").alias("component_id"))
     of_class = cut(classes.select("f1", "f2", "rep").join(final, "rep").select("f1", "f2", "component_id"))
     # texts that were copied very often make a hot key: Spark's adaptive join splits it, as both sides are plain shuffles
-    linked = rows.where("f1 IS NOT NULL AND id IS NOT NULL").select("id", "n", "f1", "f2").join(of_class, ["f1", "f2"]).select("id", "n", "component_id")
-    alone = rows.where("f1 IS NULL OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    return all_of([linked, alone]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    of_id = chosen.join(of_class, ["f1", "f2"]).select("id", "component_id")
+    # ids without words have no class and are their own component
+    return rows.select("id", "n").join(of_id, "id", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept: one document of each group, the one with the smallest id."""
+    """The rows of docs that are kept, with all their columns: one document of each group, the one with the smallest id.
+
+    Rows of a null id, and of null or empty texts, belong to no group and stay; all rows of an id
+    that stays do. The empty table stays empty.
+    """
     gone = cut(near_duplicates(docs, s, id_col, text_col).where("NOT kept").select(id_col).distinct())
     return docs.join(F.broadcast(gone) if few_rows(gone, s.broadcast_rows) else gone, id_col, "left_anti")

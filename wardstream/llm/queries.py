@@ -102,15 +102,13 @@ QUERIES |= {"op8_decontaminate": op8_decontaminate}
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = table(spark, sf_dir, "documents"), F.pmod(crc_of_id(F.col("doc_id")), F.lit(4))
-    s = toxicity.Settings()
-    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels"), part != 2, s), s)
+    model = toxicity.fit_sample(docs, table(spark, sf_dir, "labels"), part != 2)
     return toxicity.score_toxicity(docs, model).select("doc_id", (part == 2).alias("held_out"), "score", "predicted")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = table(spark, sf_dir, "documents"), F.pmod(crc_of_id(F.col("doc_id")), F.lit(5))
-    s = language.Settings()
-    model = language.fit(*language.sample(docs, part != 0, s), s)
+    model = language.fit_sample(docs, part != 0)
     return language.identify(docs, model).select("doc_id", (part == 0).alias("held_out"), "lang_pred", "score")
 
 

@@ -9,7 +9,6 @@ windows: training starts from all windows and then keeps, of each toxic text, th
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import subwords
-from .common import map_rows
+from .common import fitted, map_rows
 
 WORDS = re.compile(r"[^\W_]+")
 #: A task forgets its words beyond this many, so that its memory stays bounded.
@@ -27,9 +26,12 @@ REMEMBERED = 150_000
 
 @dataclass(frozen=True)
 class Settings:
-    """rows: at most about so many labelled texts of each class are fitted, chosen by a hash of their ids."""
+    """What is fitted is a sample of labelled rows, chosen by a hash of their ids: of each class about `rows` texts and
+    `volume` bytes at most, from texts of up to `longest` bytes. A chosen text is fitted as a whole."""
 
     rows: int = 2000
+    volume: int = 2_500_000
+    longest: int = 200_000
     buckets: int = 1 << 16
     dim: int = 4
     window: int = 16
@@ -86,6 +88,12 @@ class Model:
         self.one, self.known = self.embed @ (self.out[:, 1] - self.out[:, 0]), {}
         return self
 
+    def bare(self) -> Model:
+        """What scoring needs."""
+        m = Model.__new__(Model)
+        m.s, m.one, m.bias, m.scale, m.shift, m.known = self.s, self.one, self.bias, self.scale, self.shift, {}
+        return m
+
     def learn_words(self, used: dict[str, int]) -> None:
         """Remembers the share of each word in a window's logit."""
         if len(self.known) > REMEMBERED:
@@ -112,6 +120,61 @@ class Model:
         return float(self.scores([text])[0])
 
 
+class Words:
+    """The words of the texts fitted: their buckets end to end, and how many each has."""
+
+    def __init__(self, known: dict[str, int], s: Settings):
+        every, step = list(known), 20_000  # in parts, which bounds what hashing needs beside its result
+        found = [(f.astype(np.int32), (w + a).astype(np.int32)) for a in range(0, len(every), step) for f, w in [features(every[a : a + step], s)]]
+        self.bucket, self.word_of = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        self.size = np.bincount(self.word_of, minlength=len(known))
+
+    def of(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, position in used) of these words, which are sorted."""
+        place = np.full(len(self.size), -1, np.int32)
+        place[used] = np.arange(len(used))
+        at = place[self.word_of]
+        mask = at >= 0
+        return self.bucket[mask], at[mask]
+
+
+def half_windows(docs: list[np.ndarray], s: Settings, empty: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, text of each): windows that overlap by half. Words beyond the end are empty, and so are a word's repetitions within a window."""
+    half = s.window // 2
+    starts = [np.arange(0, max(1, len(d) - half), half) for d in docs]
+    spans, at = np.full((sum(map(len, starts)), s.window), empty, np.int32), 0
+    for d, a in zip(docs, starts, strict=True):
+        for x in a.tolist():
+            w = d[x : x + s.window]
+            spans[at, : len(w)] = w
+            at += 1
+    again = np.zeros(spans.shape, bool)
+    for d in range(1, s.window):
+        again[:, d:] |= spans[:, d:] == spans[:, :-d]
+    spans[again] = empty
+    return spans, np.repeat(np.arange(len(docs)), list(map(len, starts)))
+
+
+def gradients(m: Model, words: Words, win: np.ndarray, want: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss of these windows, both classes weighing alike, and its derivatives by embeddings, weights and biases."""
+    s, empty = m.s, len(words.size)
+    used, at = np.unique(win, return_inverse=True)
+    used_words = used[used < empty]
+    f, w = words.of(used_words)
+    vec = group_sum(w, m.embed[f], len(used_words)) / words.size[used_words, None]
+    vec = np.concatenate([vec, np.zeros((len(used) - len(used_words), s.dim))])
+    bag = vec[at.reshape(win.shape)].mean(1)
+    z = bag @ m.out + m.bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    weight = np.where(want == 1, 0.5 / max(1, (want == 1).sum()), 0.5 / max(1, (want == 0).sum()))
+    loss = -(weight * np.log(p[np.arange(len(want)), want])).sum() + s.decay * (m.embed**2).sum() / 2 / s.buckets
+    g = (p - np.eye(2)[want]) * weight[:, None]
+    d_bag = (g @ m.out.T) / s.window
+    d_vec = group_sum(at.ravel(), np.repeat(d_bag, s.window, 0), len(used))[: len(used_words)] / words.size[used_words, None]
+    return float(loss), {"embed": group_sum(f, d_vec[w], s.buckets) + s.decay * m.embed / s.buckets, "out": bag.T @ g, "bias": g.sum(0)}
+
+
 def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) -> Model:
     """Trains on the given texts; one text in four only sets scale and shift."""
     y = np.array(labels, int)
@@ -122,26 +185,11 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) ->
         return m.ready()
     known: dict[str, int] = {}
     docs = numbered(texts, known)
-    every, step = list(known), 20_000  # in parts, which bounds what hashing needs beside its result
-    found = [(f.astype(np.int32), (w + a).astype(np.int32)) for a in range(0, len(every), step) for f, w in [features(every[a : a + step], s)]]
-    flat, word_of = (np.concatenate([x[k] for x in found]) for k in (0, 1))
-    size = np.bincount(word_of, minlength=len(known))
-    # windows overlap by half; words beyond the end are empty, and so are a word's repetitions within a window
-    half, empty = s.window // 2, len(known)
-    spans, doc_of = [], []
-    for i, d in enumerate(docs):
-        for a in range(0, max(1, len(d) - half), half):
-            w = d[a : a + s.window]
-            spans.append(np.pad(w, (0, s.window - len(w)), constant_values=empty))
-            doc_of.append(i)
-    spans, doc_of = np.array(spans), np.array(doc_of)
-    again = np.zeros(spans.shape, bool)
-    for d in range(1, s.window):
-        again[:, d:] |= spans[:, d:] == spans[:, :-d]
-    spans[again] = empty
-    fitted = np.arange(len(y)) % 4 != 3
+    parts = Words(known, s)
+    spans, doc_of = half_windows(docs, s, len(known))
+    used = np.arange(len(y)) % 4 != 3
     rng = np.random.default_rng(s.seed)
-    keep = fitted[doc_of]
+    keep = used[doc_of]
     moment = {k: [np.zeros_like(getattr(m, k)), np.zeros_like(getattr(m, k))] for k in ("embed", "out", "bias")}
     t = 0
     for _ in range(s.rounds):
@@ -150,40 +198,21 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) ->
         for _ in range(s.steps):
             t += 1
             part = np.concatenate([rng.choice(x, min(len(x), 2000), False) for x in (pos, neg)])
-            win, want = spans[part], y[doc_of[part]]
-            used, at = np.unique(win, return_inverse=True)
-            used_words = used[used < empty]
-            chosen = np.zeros(empty + 1, bool)
-            chosen[used_words] = True
-            mask = chosen[word_of]
-            f, w = flat[mask], np.searchsorted(used_words, word_of[mask])
-            vec = group_sum(w, m.embed[f], len(used_words)) / size[used_words, None]
-            vec = np.concatenate([vec, np.zeros((len(used) - len(used_words), s.dim))])
-            bag = vec[at.reshape(win.shape)].mean(1)
-            z = bag @ m.out + m.bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            # both classes weigh alike
-            weight = np.where(want == 1, 0.5 / max(1, (want == 1).sum()), 0.5 / max(1, (want == 0).sum()))[:, None]
-            g = (p - np.eye(2)[want]) * weight
-            d_bag = (g @ m.out.T) / s.window
-            d_vec = group_sum(at.ravel(), np.repeat(d_bag, s.window, 0), len(used))[: len(used_words)] / size[used_words, None]
-            grads = {"embed": group_sum(f, d_vec[w], s.buckets) + s.decay * m.embed / s.buckets, "out": bag.T @ g, "bias": g.sum(0)}
-            for k, grad in grads.items():  # Adam
+            for k, grad in gradients(m, parts, spans[part], y[doc_of[part]])[1].items():  # Adam
                 a, b = moment[k]
                 a += 0.1 * (grad - a)
                 b += 0.01 * (grad**2 - b)
                 setattr(m, k, getattr(m, k) - s.rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8))
         m.ready()
-        value = np.append(np.bincount(word_of, m.one[flat], empty) / size, 0.0)[spans].mean(1) + m.bias[1] - m.bias[0]
+        of_word = np.append(np.bincount(parts.word_of, m.one[parts.bucket], len(known)) / parts.size, 0.0)
+        value = np.concatenate([of_word[spans[a : a + 20_000]].mean(1) for a in range(0, len(spans), 20_000)]) + m.bias[1] - m.bias[0]
         top = np.full(len(y), -np.inf)
         np.maximum.at(top, doc_of, value)
         # of toxic texts, the windows near the worst one; of the others, all
-        keep = fitted[doc_of] & ((y[doc_of] == 0) | (value >= top[doc_of] - 0.3 * np.abs(top[doc_of])) & (value > 0) | (value == top[doc_of]))
+        keep = used[doc_of] & ((y[doc_of] == 0) | (value >= top[doc_of] - 0.3 * np.abs(top[doc_of])) & (value > 0) | (value == top[doc_of]))
     m.ready()
-    held = [i for i in range(len(y)) if not fitted[i]]
-    x, want = m.worst([texts[i] for i in held]), y[held]
-    m.scale, m.shift = calibrated(x, want)
+    held = [i for i in range(len(y)) if not used[i]]
+    m.scale, m.shift = calibrated(m.worst([texts[i] for i in held]), y[held])
     return m
 
 
@@ -202,37 +231,42 @@ def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return float(a), float(b)
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, s: Settings, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, list]:
-    """About s.rows labelled texts of each class at most, by a hash of the id; the ids chosen are few enough to broadcast.
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, s: Settings, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(key, t, y): texts and labels of the rows to fit, bounded as Settings says; the ids chosen are few enough to broadcast.
 
-    Rows of null id or label are left out; of an id with several labels the highest counts.
+    Rows of null id or label are left out; of an id with several labels the highest counts. How many
+    rows and bytes there are in each class is counted over all of them.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
-    count = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))
+    have = docs.select(F.col(id_col).alias("i"), size.alias("size")).where(F.col("size") <= s.longest).join(known, "i").groupBy("y").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    share = {r["y"]: min(s.rows / max(1, r["n"]), s.volume / max(1, r["bytes"])) for r in have.collect()}
     part = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit(s.seed)), F.lit(1_000_000)) / 1e6
-    most = F.create_map(*[F.lit(x) for y in (0, 1) for x in (y, s.rows / max(1, count.get(y, 0)))])
-    ids = known.where(part < most[F.col("y")])
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").collect()
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["i"]).encode()), r["t"] or ""))
-    return [r["t"] for r in rows], [r["y"] for r in rows]
+    most = F.create_map(*[F.lit(float(x)) for y in (0, 1) for x in (y, share.get(y, 0))])
+    ids = known.where(part < most[F.col("y").cast("double")])
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), size.alias("size")).where(F.col("size") <= s.longest)
+    return rows.join(F.broadcast(ids), "i").select(F.crc32(F.col("i").cast("string").cast("binary")).alias("key"), "t", "y")
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, learn: Column, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """The model of a bounded sample, fitted in one task of an executor."""
+    return fitted(sample(docs, labels, learn, s, id_col, text_col, label_col), lambda rows: fit([t for _, t, _ in rows], [y for *_, y in rows], s).bare())
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score, predicted. Whole texts; a null or empty text is a window of empty words.
 
-    The model, whose size doesn't depend on the data, goes to the tasks. Other columns are not read.
+    Equal texts get equal scores, whatever their ids; repeated rows are scored each, and a null id
+    stays. The model, whose size doesn't depend on the data, goes to the tasks. Other columns,
+    whatever their names, are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.s, model.one, model.bias, model.scale, model.shift))
-    made = []
+    held, made = docs.sparkSession.sparkContext.broadcast(model.bare()), []
 
     def rows(batch):
         if not made:
-            m = Model.__new__(Model)
-            (m.s, m.one, m.bias, m.scale, m.shift), m.known = held.value, {}
-            made.append(m)
-        texts = batch.column(1).to_pylist()
-        score = [x for a in range(0, len(texts), 500) for x in made[0].scores(texts[a : a + 500]).tolist()]
+            made.append(held.value.bare())  # the words that a task remembers go with it
+        score = made[0].scores(batch.column(1).to_pylist()).tolist()
         return {id_col: batch.column(0), "score": score, "predicted": [int(x >= threshold) for x in score]}
 
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return map_rows(docs.select(id_col, F.col(text_col)), rows, schema)
+    return map_rows(docs.select(id_col, F.col(text_col)), rows, schema, 500)
