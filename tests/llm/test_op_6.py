@@ -1,5 +1,7 @@
 """Operator 6 against all pairs of vectors in double precision."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +75,18 @@ def test_centres_with_the_largest_id(spark, s):
     one = np.eye(9)
     rows += [(100 + i, (0.45 * one[i] + one[8]).tolist()) for i in range(8)] + [(108, one[8].tolist())]
     check(V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), s).collect(), rows)
+
+
+@pytest.mark.parametrize("s", [V.Settings(), V.Settings(chunk=50, tile=32)])
+def test_chains_of_three_and_four(spark, s):
+    """Eighty chains in 64 dimensions, 20 degrees from step to step, ids in all orders: 1-3-2, 1-3-4-2 and the rest."""
+    rng, rows = np.random.default_rng(12), []
+    orders = [*itertools.permutations((1, 2, 3)), *itertools.permutations((1, 2, 3, 4))]
+    for k in range(80):
+        a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        for step, i in enumerate(orders[k % len(orders)]):
+            t = np.radians(20 * step)
+            rows.append((10 * k + i, [float(np.float32(x)) for x in np.cos(t) * a + np.sin(t) * b]))
+    rows += [(2000 + k, [float(np.float32(x)) for x in v]) for k, v in enumerate(rng.normal(size=(60, 64)))]
+    df = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "vec_id long, embedding array<float>")
+    check(V.near_vectors(df, s).collect(), rows)

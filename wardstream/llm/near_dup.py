@@ -139,8 +139,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, s: Settings, id_col: str, text_col:
 def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
     """Pairs (a, b) whose full sets are near enough."""
     pairs = cut(pairs)
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), s, id_col, text_col)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    # kept, so that both sides of each join are plain shuffles: one that meets very many partners is split by Spark's adaptive join
+    sets = cut(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), s, id_col, text_col))
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     common = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     return cut(common.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * s.percent).select("a", "b"))
 

@@ -29,7 +29,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
 SITE_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Hosts that the method itself blocks where no site rule fits.
 BLOCKED_WORDS = ("ads", "ads-track", "adserver", "banner", "casino", "cheap-pills", "click-bait", "pills", "spam", "spam-farm", "tracker", "warez")
-RULES = [*[url_rules.site_rule(v, r) for v, r in SITE_RULES], *[url_rules.word_rule("block", w) for w in BLOCKED_WORDS]]
+#: Folders and kinds of files that hold no running text.
+BLOCKED_FOLDERS = ("admin", "basket", "cart", "cgi-bin", "checkout", "login", "logout", "signin", "sign-up", "wp-admin", "wp-login.php")
+BLOCKED_FILES = ("apk", "avi", "css", "dmg", "exe", "gif", "iso", "jpeg", "jpg", "js", "mp3", "mp4", "png", "svg", "woff", "zip")
+RULES = [
+    *[url_rules.site_rule(v, r) for v, r in SITE_RULES], *[url_rules.word_rule("block", w) for w in BLOCKED_WORDS], *[url_rules.folder_rule("block", w) for w in BLOCKED_FOLDERS],
+    *[url_rules.file_rule("block", w) for w in BLOCKED_FILES],
+]
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +57,8 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '(^|[^a-z0-9])(%s)($|[^a-z0-9])') THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled""" % "|".join(BLOCKED_WORDS)
+    WHEN regexp_matches(host, '(^|[^a-z0-9])(%s)($|[^a-z0-9])') OR regexp_matches(path, '(?i)/(%s)(/|$)') OR regexp_matches(path, '(?i)/[^/]*\.(%s)$') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled""" % ("|".join(BLOCKED_WORDS), "|".join(x.replace(".", r"\.") for x in BLOCKED_FOLDERS), "|".join(BLOCKED_FILES))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

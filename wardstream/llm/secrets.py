@@ -50,6 +50,18 @@ def scoped(parts: list[tuple[int, int]], anchors: list[tuple[int, int]], reach:
     return out
 
 
+def apart(parts: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Parts that overlap nothing taken; both lists by start, swept once: the farthest end so far tells."""
+    out, end, k = [], 0, 0
+    for s, e in parts:
+        while k < len(taken) and taken[k][0] < e:
+            end = max(end, taken[k][1])
+            k += 1
+        if end <= s:
+            out.append((s, e))
+    return out
+
+
 def find(text: str, reach: int = REACH) -> list[tuple[str, int, int]]:
     """All spans as (kind, start, end) in code points, end exclusive, by start and then kind."""
     low = text.lower()
@@ -59,8 +71,7 @@ def find(text: str, reach: int = REACH) -> list[tuple[str, int, int]]:
     found = [("assign", *x) for x in assign] + [("access", *x) for x in access] + [("hex", *x) for x in hexes]
     if access:
         bare = scoped([m.span() for m in BARE.finditer(text)], access, reach)
-        taken = sorted(assign + access + hexes)
-        found += [("secret", s, e) for s, e in bare if not any(a < e and s < b for a, b in taken)]
+        found += [("secret", *x) for x in apart(bare, sorted(assign + access + hexes))]
     if access or assign:
         found += [("endpoint", *x) for x in scoped([m.span() for m in ENDPOINT.finditer(text)], sorted(access + assign), reach)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -110,7 +121,11 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with the reported spans of the text replaced; nulls stay null."""
+    """The same rows and columns with the reported spans of the text replaced; null and empty texts stay as they are.
+
+    Whole texts are scanned, however long; repeated rows are treated alike, and columns keep their
+    names and values, whatever they are.
+    """
 
     def rows(batch):
         at = batch.schema.get_field_index(text_col)

@@ -45,6 +45,16 @@ def word_rule(verdict: str, words: str) -> Rule:
     return Rule(None, verdict, rf"^[^/]*(?<![a-z0-9]){re.escape(words)}(?![a-z0-9])[^/]*", tuple(re.findall(TOKEN, words)))
 
 
+def folder_rule(verdict: str, name: str) -> Rule:
+    """A nameless rule that fits any path with this folder or file."""
+    return Rule(None, verdict, rf"(?i)/{re.escape(name)}(?:/|\Z)", tuple(re.findall(TOKEN, name)))
+
+
+def file_rule(verdict: str, kind: str) -> Rule:
+    """A nameless rule that fits any path that ends in a file of this kind."""
+    return Rule(None, verdict, rf"(?i)/[^/]*\.{re.escape(kind)}\Z", (kind,))
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host and path; a null, or a url without ://, has neither."""
     m = HOST.search(url) if url else None
@@ -79,10 +89,9 @@ def judge_urls(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_co
     index: dict[str | None, list[int]] = defaultdict(list)
     for i, r in enumerate(rules):
         index[min(r.tokens, key=lambda t: (counts[t], t)) if r.tokens else None].append(i)
-    index = dict(index)
+    index, compiled = dict(index), [re.compile(r.pattern) for r in rules]
 
     def rows(batch):
-        compiled = [re.compile(r.pattern) for r in rules]
         hosts, paths, names, verdicts = [], [], [], []
         for url in batch.column(1).to_pylist():
             host, path = split_url(url)

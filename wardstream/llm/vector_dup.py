@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, FloatType, IntegerType, LongType, StructField, StructType
 
 from .common import components, cut, map_rows
 
@@ -69,7 +69,7 @@ def slabs(vectors: DataFrame, s: Settings) -> DataFrame:
         at = pa.array(cat["at"].astype(np.int64))
         return {"dim": pa.array(cat["dim"].astype(np.int32)), "block": pa.array(cat["block"].astype(np.int32)), "slab": pa.array(cat["slab"].astype(np.int32)), "rep": pa.array(cat["rep"].astype(np.int64)), "n": batch.column(1).take(at), "vec": vecs.take(at), "home": pa.array(cat["home"].astype(bool))}
 
-    schema = StructType([*[StructField(c, IntegerType()) for c in ("dim", "block", "slab")], StructField("rep", LongType()), StructField("n", LongType()), StructField("vec", ArrayType(DoubleType())), StructField("home", BooleanType())])
+    schema = StructType([*[StructField(c, IntegerType()) for c in ("dim", "block", "slab")], StructField("rep", LongType()), StructField("n", LongType()), StructField("vec", vectors.schema["vec"].dataType), StructField("home", BooleanType())])
     return map_rows(vectors.select("rep", "n", "vec"), rows, schema)
 
 
@@ -145,9 +145,11 @@ def near_vectors(vectors: DataFrame, s: Settings = Settings(), id_col: str = "ve
     How many pairs the sieve sees grows with the square of a slab's rows, as the number of slabs
     doesn't grow with the input; the rows are counted before, and the chunks are dealt accordingly.
     """
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("vec"))
+    # single precision travels as it is, and is widened where it is compared
+    kind = "float" if vectors.schema[vec_col].dataType == ArrayType(FloatType(), vectors.schema[vec_col].dataType.containsNull) else "double"
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast(kind)).alias("vec"))
     sound = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0) & F.col("id").isNotNull(), F.lit(False))
-    v = v.withColumn("sound", sound).withColumn("vec", F.transform("vec", lambda x: x + 0.0))  # one zero
+    v = v.withColumn("sound", sound).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind)))  # one zero
     v = v.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec"))
     classes = cut(v.where("sound").groupBy("h1", "h2", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")).select("h1", "h2", "rep", "n", "vec"))
     dealt = slabs(classes, s)
