@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import components, cut, few_rows, map_rows
+from .common import all_of, components, cut, few_rows, map_rows
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,8 @@ class Settings:
     deviations) about as often; only then a link may be missed. A pair at 80 meets under none once in
     400,000 times, and agrees in fewer than 15 once in 150,000. partners: how many likely
     partners a class names in a list before all pairs are looked at. block: about so many rows of a posting list make a block; a longer
-    list is dealt over several, each pair of which meets once. A list of ids of up to broadcast_rows rows is broadcast, a longer one joined by a shuffle.
+    list is dealt over several, each pair of which meets once. partners_at_once: how many partners of one document
+    its set is compared with in one task. A list of ids of up to broadcast_rows rows is broadcast, a longer one joined by a shuffle.
     """
 
     percent: int = 85
@@ -47,6 +48,7 @@ class Settings:
     posted: int = 8
     partners: int = 2
     block: int = 2048
+    partners_at_once: int = 500
     broadcast_rows: int = 1_000_000
     seed: int = 3
 
@@ -137,11 +139,19 @@ def sets_of(docs: DataFrame, ids: DataFrame, s: Settings, id_col: str, text_col:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) whose full sets are near enough."""
+    """Pairs (a, b) whose full sets are near enough. The set of a document with very many partners is dealt out over several tasks."""
     pairs = cut(pairs)
-    # kept, so that both sides of each join are plain shuffles: one that meets very many partners is split by Spark's adaptive join
-    sets = cut(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), s, id_col, text_col))
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), s, id_col, text_col)
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("set").alias(f"s{side}"))
+    hubs = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / s.partners_at_once).cast("int").alias("copies")).where("copies > 1"))
+    if hubs.isEmpty():
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+    else:
+        dealt = pairs.join(F.broadcast(hubs) if few_rows(hubs, s.broadcast_rows) else hubs, "a", "left")
+        few = dealt.where("copies IS NULL").join(of("a"), "a").join(of("b"), "b")
+        copied = of("a").join(hubs, "a").select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+        many = dealt.where("copies IS NOT NULL").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).join(of("b"), "b").join(copied, ["a", "copy"])
+        both = all_of([x.select("a", "b", "sa", "sb") for x in (few, many)])
     common = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     return cut(common.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * s.percent).select("a", "b"))
 
