@@ -73,7 +73,7 @@ def test_chains_hubs_and_blocks(spark):
     rng.shuffle(texts)
     docs = dict(enumerate(texts))
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
-    check(N.near_duplicates(df, N.Settings(block=7, broadcast_rows=3, partners_at_once=4)).collect(), brute(docs))
+    check(N.near_duplicates(df, N.Settings(block=7, broadcast_rows=3, around=4)).collect(), brute(docs))
 
 
 def test_odd_rows(spark):

@@ -4,8 +4,8 @@ Texts with the same shingle set are one class from the start. Each class is post
 coordinates of its signature (prefix), and a pair is counted at the first of them only at which it
 meets (skip), over all coordinates.
 
-Pairs inside one posting list are never all emitted. First every class is compared with the
-smallest class that it meets most often; what is confirmed is joined into components. Then lists
+Pairs inside one posting list are never all emitted. First every class is compared with a small
+class that it meets most often, some hundreds with one; what is confirmed is joined into components. Then lists
 that hold more than one component are read again, and each class names the few likeliest partners
 in other components that it meets; what is confirmed joins more. Last, all pairs across the
 components left are candidates. Pairs within one component are reachable from each other already, so
@@ -37,8 +37,8 @@ class Settings:
     deviations) about as often; only then a link may be missed. A pair at 80 meets under none once in
     400,000 times, and agrees in fewer than 15 once in 150,000. partners: how many likely
     partners a class names in a list before all pairs are looked at. block: about so many rows of a posting list make a block; a longer
-    list is dealt over several, each pair of which meets once. partners_at_once: how many partners of one document
-    its set is compared with in one task. A list of ids of up to broadcast_rows rows is broadcast, a longer one joined by a shuffle.
+    list is dealt over several, each pair of which meets once. around: about how many classes are compared with one
+    at first. A list of ids of up to broadcast_rows rows is broadcast, a longer one joined by a shuffle.
     """
 
     percent: int = 85
@@ -48,7 +48,7 @@ class Settings:
     posted: int = 8
     partners: int = 2
     block: int = 2048
-    partners_at_once: int = 500
+    around: int = 500
     broadcast_rows: int = 1_000_000
     seed: int = 3
 
@@ -139,23 +139,32 @@ def sets_of(docs: DataFrame, ids: DataFrame, s: Settings, id_col: str, text_col:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) whose full sets are near enough. The set of a document with very many partners is dealt out over several tasks."""
+    """Pairs (a, b) whose full sets are near enough."""
     pairs = cut(pairs)
     sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), s, id_col, text_col)
-    of = lambda side: sets.select(F.col("id").alias(side), F.col("set").alias(f"s{side}"))
-    hubs = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / s.partners_at_once).cast("int").alias("copies")).where("copies > 1"))
-    if hubs.isEmpty():
-        both = pairs.join(of("a"), "a").join(of("b"), "b")
-    else:
-        dealt = pairs.join(F.broadcast(hubs) if few_rows(hubs, s.broadcast_rows) else hubs, "a", "left")
-        few = dealt.where("copies IS NULL").join(of("a"), "a").join(of("b"), "b")
-        copied = of("a").join(hubs, "a").select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-        many = dealt.where("copies IS NOT NULL").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).join(of("b"), "b").join(copied, ["a", "copy"])
-        both = all_of([x.select("a", "b", "sa", "sb") for x in (few, many)])
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     return cut(common.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * s.percent).select("a", "b"))
 
 
+def hubs(posts: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): each class b with the class a that it is compared with first, of those that it meets the one it meets most often.
+
+    That is the smallest of its list; of a list longer than s.around, the smallest of the class's part
+    of the list, and for these the smallest of all: no class is compared with much more than s.around.
+    Parts are powers of two by the class's hash, so that they are alike in lists of about the same classes.
+    """
+    parts = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / s.around)))).cast("long")
+    lists = cut(posts.groupBy("list").agg(F.min("rep").alias("hub"), F.count("*").alias("n"), parts.alias("parts")).where("n > 1").drop("n"))
+    met = posts.join(lists, "list").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(s.seed)), F.col("parts")))
+    long = met.where("parts > 1")
+    least = long.groupBy("list", "part").agg(F.min("rep").alias("least"))
+    long = long.join(least, ["list", "part"]).withColumn("hub", F.when(F.col("rep") == F.col("least"), F.col("hub")).otherwise(F.col("least")))
+    met = all_of([x.select("rep", "hub") for x in (met.where("parts = 1"), long)]).where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
+    best = met.groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best"))
+    return best.select(F.least(-F.col("best.hub"), "rep").alias("a"), F.greatest(-F.col("best.hub"), "rep").alias("b"))
+
+
 def likely(i, j, n, bins, percent: int):
     """Which pairs reach the bound in bins, and how far: matches / bins in use, less 4.5 standard deviations of a pair at percent."""
     x, y = bins[i], bins[j]
@@ -284,11 +293,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     classes = cut(classes.join(named, ["f1", "f2"]).select("f1", "f2", "rep", "n", "sig", "bins"))
     sketch = classes.withColumn("p", F.transform(F.slice("sig", 1, s.posted), lambda v, c: F.struct(c.alias("coord"), F.xxhash64(c, v).alias("list"))))
     posts = sketch.select("rep", F.explode("p").alias("p")).select("rep", "p.coord", "p.list")
-    lists = cut(posts.groupBy("list").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    met = posts.join(lists, "list").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
-    best = met.groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best"))
     alone = classes.select("rep", F.col("rep").alias("comp"))
-    comp = joined(alone, confirmed(best.select((-F.col("best.hub")).alias("a"), F.col("rep").alias("b")), docs, s, id_col, text_col))
+    comp = joined(alone, confirmed(hubs(posts, s), docs, s, id_col, text_col))
     comp = joined(comp, confirmed(across(comp, sketch, s, s.partners), docs, s, id_col, text_col))
     comp = joined(comp, confirmed(across(comp, sketch, s), docs, s, id_col, text_col))
     final = comp.select("rep", F.col("comp").alias("component_id"))
