@@ -24,19 +24,32 @@ def fill_both(df: DataFrame, cols: list[str], key: str, order: str, mode: str =
     value takes the next key's first. That needs no sort of the whole table: what a key lends to the
     ones before it is its first value, one row per key.
     """
-    for c in cols:
-        df = df.withColumn(c, F.coalesce(ffill(c, key, order), bfill(c, key, order)))
+    df = df.withColumns({c: F.coalesce(ffill(c, key, order), bfill(c, key, order)) for c in cols})
     if mode == "strict_patient":
         return df
     if mode != "reference":
         raise ValueError(mode)
-    first = df.groupBy(key).agg(*[F.min_by(c, order).alias(f"_{c}") for c in cols])
-    after = Window.orderBy(key).rowsBetween(1, Window.unboundedFollowing)
-    lent = first.select(key, *[F.first(f"_{c}", ignorenulls=True).over(after).alias(f"_{c}") for c in cols])
-    df = df.join(lent, key)
+    df = df.join(lent(df, cols, key, order), key)
     return df.select(*[F.coalesce(c, f"_{c}").alias(c) if c in cols else F.col(c) for c in df.columns if not (c.startswith("_") and c[1:] in cols)])
 
 
+def lent(df: DataFrame, cols: list[str], key: str, order: str, ranges: int = 64) -> DataFrame:
+    """(key, _col for each col): the first value of the nearest key after this one that has any, from rows filled by key.
+
+    One row per key is sorted, in two levels: ranges of keys, each in a task of its own, and one row
+    per range that says what the ranges after it lend.
+    """
+    first = df.groupBy(key).agg(*[F.min_by(c, order).alias(f"_{c}") for c in cols])
+    edges = F.percentile_approx(key, [i / ranges for i in range(1, ranges)])
+    placed = first.crossJoin(F.broadcast(first.agg(edges.alias("_edges")))).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(key)))).drop("_edges")  # one row
+    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(1, Window.unboundedFollowing)
+    beyond = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)  # at most `ranges` rows
+    of_range = placed.groupBy("_range").agg(*[F.min_by(f"_{c}", F.when(F.col(f"_{c}").isNotNull(), F.col(key))).alias(f"_{c}_r") for c in cols])
+    of_range = of_range.select("_range", *[F.first(f"_{c}_r", ignorenulls=True).over(beyond).alias(f"_{c}_r") for c in cols])
+    out = placed.withColumns({f"_{c}": F.first(f"_{c}", ignorenulls=True).over(inside) for c in cols}).join(F.broadcast(of_range), "_range")
+    return out.select(key, *[F.coalesce(f"_{c}", f"_{c}_r").alias(f"_{c}") for c in cols])
+
+
 def with_median(df: DataFrame, cols: list[str], key: str | None = None) -> DataFrame:
     """Nulls become the column's median, over the key's rows or over all; what has none stays null."""
     if key:
@@ -71,7 +84,9 @@ RANGES = {
 def impute(df: DataFrame, key: str, order: str, version: int = 1, mode: str = "strict_patient", steps: tuple[Step, ...] = STEPS, ranges: dict = RANGES) -> DataFrame:
     """Missing flags, ranges (version 1), fills in order; version 2 puts the patient's median between fill and constant.
 
-    Flags of lactate are taken after the ranges, as of what is missing then.
+    Flags of lactate are taken after the ranges, as of what is missing then. No column's fill depends
+    on another's, so all of them are filled over one sort by key, all patients' medians come over the
+    same key, and all medians of the whole from one aggregation: the rows are read twice.
     """
     have = set(df.columns)
     if "sao2" in have:
@@ -84,14 +99,18 @@ def impute(df: DataFrame, key: str, order: str, version: int = 1, mode: str = "s
         df = df.withColumn("lactate_missing", F.col("lactate").isNull().cast("int"))
     if version == 2 and "ph" in have:
         df = df.withColumn("ph_missing", F.col("ph").isNull().cast("int"))
-    for s in steps:
-        cols = [c for c in s.cols if c in have]
-        if not cols:
-            continue
-        if s.limit is None:
-            df = fill_both(df, cols, key, order, mode)
-        else:
-            df = df.withColumns({c: ffill(c, key, order, s.limit) for c in cols})
-            df = with_median(df, cols, key) if version == 2 else df
-        df = with_median(df, cols) if s.constant is None else df.fillna(s.constant, cols)
+    steps = tuple(Step(tuple(c for c in s.cols if c in have), s.limit, s.constant) for s in steps)
+    both = [c for s in steps if s.limit is None for c in s.cols]
+    limited = {c: s.limit for s in steps if s.limit is not None for c in s.cols}
+    fixed = {c: s.constant for s in steps if s.constant is not None for c in s.cols}
+    df = df.withColumns({c: F.coalesce(ffill(c, key, order), bfill(c, key, order)) for c in both} | {c: ffill(c, key, order, k) for c, k in limited.items()})
+    if mode == "reference" and both:
+        df = df.join(lent(df, both, key, order), key).withColumns({c: F.coalesce(c, f"_{c}") for c in both}).drop(*[f"_{c}" for c in both])
+    elif mode not in ("strict_patient", "reference"):
+        raise ValueError(mode)
+    if version == 2 and limited:
+        df = with_median(df, list(limited), key)
+    df = df.fillna(fixed) if fixed else df
+    rest = [c for c in (*both, *limited) if c not in fixed]
+    df = with_median(df, rest) if rest else df
     return df.fillna(0, ["oliguria_flag"]) if "oliguria_flag" in have else df

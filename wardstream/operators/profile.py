@@ -43,3 +43,31 @@ def retention(df: DataFrame, raw: str, filled: str, label: str) -> DataFrame:
     gap = lambda x: F.avg(F.when(F.col(label) == 1, F.col(x))) - F.avg(F.when(F.col(label) == 0, F.col(x)))
     g = df.agg(gap(raw).alias("a"), gap(filled).alias("b"))
     return g.select(F.round("a", 6).alias("raw_gap"), F.round("b", 6).alias("filled_gap"), F.round(F.try_divide(F.col("b"), F.col("a")), 6).alias("retention"))
+
+
+def describe(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """(feature, n, mean, std, low, p25, p50, p75, high) in one pass; percentiles are exact."""
+    stats = {"n": lambda x: F.count(x), "mean": lambda x: F.round(F.avg(x), 6), "std": lambda x: F.round(F.stddev(x), 6), "low": F.min, "high": F.max} | {f"p{p}": lambda x, p=p: F.round(F.percentile(x, p / 100), 6) for p in (25, 50, 75)}
+    one = df.agg(*[F.struct(*[f(F.col(c)).alias(n) for n, f in stats.items()]).alias(c) for c in cols])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in cols])).alias("x")).select("x.feature", "x.s.*")
+
+
+def counters(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(kind, name, n): how often each element of the array columns occurs, in one shuffle."""
+    named = lambda c: F.transform(c, lambda x: F.struct(F.lit(c).alias("kind"), x.alias("name")))
+    every = F.flatten(F.array(*[named(c) for c in cols]))
+    return df.select(F.explode(every).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
+
+
+def unit_hash(key: Column, seed: int) -> Column:
+    """A number from 0 to 1 that follows from seed and key alone."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296
+
+
+def part_of(key: Column, seed: int, shares: dict[str, float]) -> Column:
+    """Which part a row belongs to, by its hash; the last part takes the rest."""
+    out, h = F.lit(list(shares)[-1]), unit_hash(key, seed)
+    for name in reversed(list(shares)[:-1]):
+        below = round(sum(shares[n] for n in list(shares)[: list(shares).index(name) + 1]), 9)
+        out = F.when(h < below, name).otherwise(out)
+    return out

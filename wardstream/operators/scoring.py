@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -99,3 +100,35 @@ def as_of(grid: DataFrame, obs: DataFrame, key: str, at: str, ts: str, row_cols:
 def agreement(a: DataFrame, b: DataFrame, keys: list[str], col: str) -> DataFrame:
     j = a.select(*keys, F.col(col).alias("_a")).join(b.select(*keys, F.col(col).alias("_b")), keys)
     return j.agg(F.count("*").alias("n"), F.round(F.avg(F.col("_a").eqNullSafe(F.col("_b")).cast("int")), 9).alias("agreement"))
+
+
+def medians(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, median): 0 for a feature that the table lacks or that has no number; one aggregation."""
+    have = set(df.columns)
+    one = df.agg(*[(F.coalesce(F.median(F.col(f).try_cast("double")), F.lit(0.0)) if f in have else F.lit(0.0)).alias(f) for f in features])
+    return one.unpivot([], features, "feature", "median")
+
+
+def kept_medians(spark: SparkSession, path: str, df: DataFrame | None, features: list[str]) -> dict[str, float]:
+    """The medians kept as CSV (feature, median); made from df and kept, if there are none yet. As many rows as features."""
+    try:
+        kept = spark.read.option("header", True).schema("feature string, median double").csv(path)
+    except AnalysisException:
+        if df is None:
+            raise
+        medians(df, features).coalesce(1).write.option("header", True).csv(path)
+        kept = spark.read.option("header", True).schema("feature string, median double").csv(path)
+    return {r["feature"]: r["median"] for r in kept.where("trim(feature) <> ''").collect()}
+
+
+def kept_thresholds(spark: SparkSession, path: str, low: float = 0.30, high: float = 0.60) -> dict[str, float]:
+    """low, high and critical from a CSV (thresh_name, value); the defaults are kept there, if there is none yet."""
+    schema = "thresh_name string, value double"
+    try:
+        kept = spark.read.option("header", True).schema(schema).csv(path)
+    except AnalysisException:
+        spark.createDataFrame([("thresh_low", low), ("thresh_high", high)], schema).coalesce(1).write.option("header", True).csv(path)
+        kept = spark.read.option("header", True).schema(schema).csv(path)
+    said = {r["thresh_name"].strip(): r["value"] for r in kept.where("trim(thresh_name) <> ''").collect()}
+    top = said.get("thresh_high", high)
+    return {"low": said.get("thresh_low", low), "high": top, "critical": max(0.85, top + 0.20)}

@@ -54,7 +54,8 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
 def cascade(rows: DataFrame, lookup: DataFrame, id_col: str, attempts: list[dict[str, Column]], key_cols: list[str], value: str) -> DataFrame:
     """Adds `value` from the first attempt that finds a row: each attempt gives the key columns' values to look up."""
     for k, attempt in enumerate(attempts):
-        side = lookup.select(*[F.col(c).alias(f"_{c}") for c in key_cols], F.col(value).alias(f"_v{k}"))
+        # one value per key, the least, so that no row is doubled
+        side = lookup.groupBy(*[F.col(c).alias(f"_{c}") for c in key_cols]).agg(F.min(value).alias(f"_v{k}"))
         cond = F.lit(True)
         for c in key_cols:
             cond = cond & (attempt[c] == F.col(f"_{c}"))
@@ -96,19 +97,28 @@ def assign_beds(patients: DataFrame, beds: DataFrame, ward: str = "ward") -> Dat
     patients: ward, patient_id, infection_type, gender, preferred (array of rooms). beds: ward, bed_id,
     room_id, capacity. By priority and id, a patient gets the lowest bed of the first room, preferred
     ones first and then by name, that has one and, if shared, holds no other gender; patients without
-    a place get nulls. What one gets depends on all before, so a ward, whose beds bound it, is one group.
+    a place get nulls. What one gets depends on all before, so a ward is one group. Its beds bound it:
+    once a patient finds no place, nobody later with the same gender and preferences does, so of each
+    such class only as many as the ward has beds are looked at, and the rest get nulls at once.
     """
     import pandas as pd
 
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, PLACE_FIRST)), F.col("infection_type")), F.lit(0))
+    turn = Window.partitionBy(ward, "gender", "preferred").orderBy(F.when(rank == 0, 10).otherwise(rank), "patient_id")
+    count = beds.groupBy(ward).agg(F.count("*").alias("_beds"))
+    people = patients.withColumn("_turn", F.row_number().over(turn)).join(count, ward, "left").withColumn("_in", F.coalesce(F.col("_turn") <= F.col("_beds"), F.lit(False)))
+    late = people.where("NOT _in").select(ward, "patient_id", *[F.lit(None).cast(beds.schema[x].dataType).alias(x) for x in ("bed_id", "room_id")])
+    patients = people.where("_in").drop("_turn", "_beds", "_in")
+
     def place(key, people: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
         free = {r: sorted(g["bed_id"]) for r, g in places.groupby("room_id")}
         shared = places.groupby("room_id")["capacity"].max() > 1
         inside: dict[str, set] = {r: set() for r in free}
-        rank = {x: i for i, x in enumerate(PLACE_FIRST)}
-        out = []
-        for p in sorted(people.itertuples(), key=lambda p: (rank.get(p.infection_type, 9), p.patient_id)):
+        first = {x: i for i, x in enumerate(PLACE_FIRST)}
+        out, rest = [], sorted(free)
+        for p in sorted(people.itertuples(), key=lambda p: (first.get(p.infection_type, 9), p.patient_id)):
             wanted = [r for r in (p.preferred if p.preferred is not None else []) if r in free]
-            room = next((r for r in [*wanted, *sorted(set(free) - set(wanted))] if free[r] and (not shared[r] or not inside[r] - {p.gender})), None)
+            room = next((r for r in [*wanted, *(x for x in rest if x not in wanted)] if free[r] and (not shared[r] or not inside[r] - {p.gender})), None)
             bed = free[room].pop(0) if room else None
             if room:
                 inside[room].add(p.gender)
@@ -117,7 +127,7 @@ def assign_beds(patients: DataFrame, beds: DataFrame, ward: str = "ward") -> Dat
 
     types = {f.name: f.dataType.simpleString() for f in [*patients.schema, *beds.schema]}
     schema = f"{ward} {types[ward]}, patient_id {types['patient_id']}, bed_id {types['bed_id']}, room_id {types['room_id']}"
-    return patients.groupBy(ward).cogroup(beds.groupBy(ward)).applyInPandas(place, schema)
+    return patients.groupBy(ward).cogroup(beds.groupBy(ward)).applyInPandas(place, schema).unionByName(late)
 
 
 def plan_transfers(patients: DataFrame, beds: DataFrame, ward: str = "ward") -> DataFrame:
@@ -125,3 +135,50 @@ def plan_transfers(patients: DataFrame, beds: DataFrame, ward: str = "ward") ->
     p = patients.withColumn("_k", F.row_number().over(Window.partitionBy(ward).orderBy("priority", "patient_id")))
     b = beds.withColumn("_k", F.row_number().over(Window.partitionBy(ward).orderBy("bed_id")))
     return p.join(b, [ward, "_k"], "left").drop("_k")
+
+
+def plan_with_fallback(patients: DataFrame, beds: DataFrame, site: str = "site", ward: str = "ward") -> DataFrame:
+    """(site, patient_id, to_ward, bed_id, status): in the order of ids, a patient gets the lowest free bed of its ward, or of the
+    last ward by name that has one; where the site has none left, the case needs an exception.
+
+    Every patient takes a bed as long as there is one, so only as many patients as the site has beds
+    are looked at together, and these meet in one group; all others need an exception.
+    """
+    import pandas as pd
+
+    count = beds.groupBy(site).agg(F.count("*").alias("_beds"))
+    turn = F.row_number().over(Window.partitionBy(site).orderBy("patient_id"))
+    p = patients.select(site, ward, "patient_id").withColumn("_turn", turn).join(count, site, "left").withColumn("_in", F.coalesce(F.col("_turn") <= F.col("_beds"), F.lit(False)))
+    types = {f.name: f.dataType.simpleString() for f in [*patients.schema, *beds.schema]}
+
+    def plan(key, people: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+        free = {w: sorted(g["bed_id"], reverse=True) for w, g in places.groupby(ward)}
+        out, spare = [], sorted(free)  # by name, the last first
+        for x in people.sort_values("patient_id").itertuples():
+            to = getattr(x, ward)
+            while not free.get(to):
+                free.pop(to, None)
+                to = spare[-1]
+                if not free.get(to):
+                    spare.pop()
+            out.append((key[0], x.patient_id, to, free[to].pop(), "PLANNED"))
+        return pd.DataFrame(out, columns=[site, "patient_id", "to_ward", "bed_id", "status"])
+
+    schema = f"{site} {types[site]}, patient_id {types['patient_id']}, to_ward {types[ward]}, bed_id {types['bed_id']}, status string"
+    planned = p.where("_in").groupBy(site).cogroup(beds.groupBy(site)).applyInPandas(plan, schema)
+    late = p.where("NOT _in").select(site, "patient_id", F.lit(None).cast(types[ward]).alias("to_ward"), F.lit(None).cast(types["bed_id"]).alias("bed_id"), F.lit("NEEDS_EXCEPTION").alias("status"))
+    return planned.unionByName(late)
+
+
+def detached(rows: DataFrame, gone: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Rows whose key goes lose their links (cols become null); all rows stay, and so can be linked again."""
+    mark = gone.select(key).distinct().withColumn("_gone", F.lit(True))
+    j = rows.join(mark, key, "left")
+    return j.select(*[F.when(F.col("_gone"), None).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in rows.columns])
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """An update by a join: rows whose key is among the changes, one row per key, take their values, nulls too."""
+    new = changes.select(key, F.struct(*cols).alias("_new"))
+    j = rows.join(new, key, "left")
+    return j.select(*[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in rows.columns])

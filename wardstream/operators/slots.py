@@ -272,3 +272,30 @@ def context_tags(text: Column, spec: dict[str, dict] = S.CONTEXT) -> Column:
     when = lambda x: F.when(has(x, S.PAST), "past").when(has(x, S.PRESENT), "present").when(has(x, S.FUTURE), "future").otherwise("present")
     tense = F.struct(*[F.filter(times, lambda x, k=k: when(x) == k).alias(k) for k in ("past", "present", "future")])
     return F.struct(*[tagged(n).alias(n) for n in ("negation", "uncertainty", "plan")], tense.alias("temporality"))
+
+
+#: How a nursing note writes a pain score; the first of these, in order, whose value lies in 0 to 10 counts.
+FIRST_PAIN = (r"(?iU)(?:통증|pain)\s*:?\s*(\d{1,2})\s*/\s*10", r"(?iU)(\d{1,2})\s*/\s*10\s*(?:\(NRS\)|NRS)", r"(?iU)NRS\s*[:=]?\s*(\d{1,2})")
+
+
+def first_pain(*texts: Column) -> Column:
+    """The first valid pain score: texts in order, in each the patterns in order; null where none is valid."""
+    tries = [_num(found(t, p, 1)) for t in texts for p in FIRST_PAIN]
+    return F.coalesce(*[F.when(v.between(0, 10), v.cast("int")) for v in tries])
+
+
+def serialized(slots: DataFrame, spec: dict[str, dict]) -> DataFrame:
+    """Adds value_type and value_text: numbers and words as they are, flags, lists and objects as JSON."""
+    text = lambda x: F.when(x.isNull(), "null").otherwise(F.concat(F.lit('"'), x, F.lit('"')))
+    whole = F.col("slot").isin(*[n for n, d in spec.items() if d["type"] == "integer"])
+    number = F.when(whole, F.col("v_num").cast("long").cast("string")).otherwise(F.col("v_num").cast("string"))
+    listed = F.when(F.col("v_arr").isNotNull(), F.concat(F.lit("["), F.array_join(F.transform("v_arr", text), ", "), F.lit("]")))
+    held = F.when(F.col("v_obj").isNotNull(), F.concat(F.lit('{"status": '), text(F.col("v_obj.status")), F.lit(', "organism": '), text(F.col("v_obj.organism")), F.lit("}")))
+    return slots.withColumns({"value_type": F.col("vtype"), "value_text": F.coalesce(number, F.col("v_bool").cast("string"), "v_str", listed, held)})
+
+
+def split(slots: DataFrame, id_col: str = "document_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, slots, evidence): a slot's key is a hash of its document and name, so that all three can be written apart."""
+    keyed = slots.withColumn("slot_id", F.sha2(F.concat_ws("\n", F.col(id_col).cast("string"), "slot"), 256))
+    docs = slots.groupBy(id_col, "document_type").agg(F.count("*").alias("slots"))
+    return docs, keyed.drop("evidence", "method", "confidence", "document_type"), keyed.select("slot_id", "method", "confidence", F.substring("evidence", 1, 120).alias("evidence"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hours_between, shift_rank
@@ -272,6 +272,11 @@ def flat(cond: Mapping) -> list[Mapping]:
     return [cond] if "slot" in cond else [x for sub in [*cond.get("any", []), *cond.get("all", [])] for x in flat(sub)]
 
 
+def order_of(keys: list[str]) -> WindowSpec:
+    """A window over keys in the events' order."""
+    return Window.partitionBy(*keys).orderBy(F.col("doc_datetime").asc_nulls_last(), shift_rank(F.col("shift")), F.desc("axis_priority"), "priority_rank", "event_type")
+
+
 def in_order(e: DataFrame) -> DataFrame:
     """Patient, time (none last), shift, the axes' and rules' priorities, type."""
     return e.orderBy("patient_id", F.col("doc_datetime").asc_nulls_last(), shift_rank(F.col("shift")), F.desc("axis_priority"), "priority_rank", "event_type")

@@ -1,7 +1,7 @@
 """Registered queries over the test tables, each with DuckDB SQL where SQL can express it."""
 
-from . import cohort, icu, notes
+from . import assembly, charts, cohort, icu, notes
 
-_PARTS = (icu, cohort, notes)
+_PARTS = (icu, cohort, notes, charts, assembly)
 QUERIES = {name: f for part in _PARTS for name, f in part.R.queries.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.R.sql.items()}

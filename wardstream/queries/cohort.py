@@ -210,11 +210,12 @@ def rule_maps(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", isolation_of(kind).alias("isolation"), risk_of(c("o_totalprice") / 500000).alias("risk"))
 
 
-@R.add("SELECT l_orderkey, l_partkey, l_linenumber, m AS admission FROM lineitem JOIN (SELECT o_custkey, max(o_orderkey) AS m FROM orders GROUP BY 1) ON o_custkey = l_orderkey % 1500 WHERE l_quantity < 5")
+@R.add("SELECT l_orderkey, l_partkey, l_linenumber, m AS admission FROM lineitem JOIN orders o ON o.o_orderkey = l_orderkey JOIN (SELECT o_custkey, max(o_orderkey) AS m FROM orders GROUP BY 1) x ON x.o_custkey = o.o_custkey")
 def admission_remap(spark, sf):
-    m = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("admission"))
-    l = table(spark, sf, "lineitem").where("l_quantity < 5").select("l_orderkey", "l_partkey", "l_linenumber", (c("l_orderkey") % 1500).alias("o_custkey"))
-    return l.join(m, "o_custkey").select("l_orderkey", "l_partkey", "l_linenumber", "admission")
+    """What was booked under any admission of a patient goes to the patient's latest one."""
+    o = table(spark, sf, "orders").select("o_custkey", c("o_orderkey").alias("l_orderkey"))
+    m = o.withColumn("admission", F.max("l_orderkey").over(Window.partitionBy("o_custkey"))).drop("o_custkey")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(m, "l_orderkey")
 
 
 @R.add("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END DESC NULLS LAST, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
@@ -337,12 +338,12 @@ def ensemble_mean(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.round(scoring.ensemble(folds), 9).alias("risk"))
 
 
-@R.add("""WITH f AS (SELECT l_orderkey, l_partkey, l_linenumber, unnest(['disc', 'qty', 'tax']) AS feature, unnest([(0.05 - l_discount) * 10, (l_quantity - 25) * 0.02, (l_tax - 0.04) * 8]) AS s FROM lineitem),
-r AS (SELECT DISTINCT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_linenumber ORDER BY abs(s) DESC, feature) AS k FROM f WHERE l_orderkey % 7 = 0 AND (l_orderkey, l_partkey, l_linenumber) IN (SELECT (l_orderkey, l_partkey, l_linenumber) FROM lineitem GROUP BY ALL HAVING count(*) = 1))
+@R.add("""WITH n AS (SELECT *, row_number() OVER () AS i FROM lineitem), f AS (SELECT i, l_orderkey, l_partkey, l_linenumber, unnest(['disc', 'qty', 'tax']) AS feature, unnest([(0.05 - l_discount) * 10, (l_quantity - 25) * 0.02, (l_tax - 0.04) * 8]) AS s FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY abs(s) DESC, feature) AS k FROM f)
 SELECT l_orderkey, l_partkey, l_linenumber, k, feature, round(abs(s), 6) AS contribution, CASE WHEN s >= 0 THEN 'UP' ELSE 'DOWN' END AS direction FROM r WHERE k <= 2""")
 def topk_factors(spark, sf):
     keys = ["l_orderkey", "l_partkey", "l_linenumber"]
-    l = table(spark, sf, "lineitem").withColumn("once", F.count("*").over(Window.partitionBy(*keys))).where("once = 1 AND l_orderkey % 7 = 0")
+    l = table(spark, sf, "lineitem")
     s = F.array((0.05 - c("l_discount")) * 10, (c("l_quantity") - 25) * 0.02, (c("l_tax") - 0.04) * 8)
     top = scoring.factors(F.array(*map(F.lit, ("disc", "qty", "tax"))), s, 2)
     return l.select(*keys, F.posexplode(top).alias("k", "f")).select(*keys, (c("k") + 1).cast("long").alias("k"), "f.feature", "f.contribution", "f.direction")

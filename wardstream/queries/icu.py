@@ -257,6 +257,58 @@ def impute_v2(spark, sf):
     return impute.impute(_grid(spark, sf), "user_id", "hr_no", version=2).withColumns({x: F.round(x, 9) for x in ("hr", "temp", "lactate", "bilirubin")})
 
 
+#: Where each of the seventeen columns and the saturation come from: a type of event, and scale and offset that bring most values into their range.
+CHARTED = {
+    "hr": ("view", 1.2, 15), "rr": ("click", 0.3, 2), "spo2": ("error", -0.3, 105), "sbp": ("purchase", 2.0, 20), "dbp": ("signup", 1.5, 5), "mbp": ("view", 1.5, 10), "temp": ("click", 0.1, 32), "creatinine": ("error", 0.2, 0),
+    "wbc": ("purchase", 0.5, 0), "platelets": ("signup", 9.0, 0), "potassium": ("view", 0.08, 1), "sodium": ("click", 0.8, 95), "lactate": ("purchase", 0.25, 0), "ph": ("error", 0.01, 6.4), "bilirubin": ("signup", 0.5, 0),
+    "gcs_total": ("click", 0.12, 2), "urine_ml_6h": ("view", 80.0, -200),
+}
+CHART = "p AS (SELECT user_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hr_no, " + ", ".join(f"avg(value * {a} + {b}) FILTER (WHERE event_type = '{e}') AS {n}" for n, (e, a, b) in CHARTED.items()) + ", min(value) FILTER (WHERE event_type = 'signup') AS sao2 FROM events GROUP BY 1, 2)"
+
+
+def _chart(spark, sf):
+    e = table(spark, sf, "events").withColumn("hr_no", F.floor(micros(c("ts")) / 3.6e9))
+    return e.groupBy("user_id", "hr_no").agg(*[F.avg(F.when(c("event_type") == t, c("value") * a + b)).alias(n) for n, (t, a, b) in CHARTED.items()], F.min(item("signup")).alias("sao2"))
+
+
+def _imputed_sql(version, reference=False):
+    """All seventeen columns, each by its own step."""
+    limit = {n: s.limit for s in impute.STEPS for n in s.cols}
+    fixed = {n: s.constant for s in impute.STEPS if s.constant is not None for n in s.cols}
+    ranged = {n: f"CASE WHEN {n} BETWEEN {lo} AND {hi} THEN {n} END" for n, (lo, hi) in impute.RANGES.items()}
+    flags = ["(sao2 IS NOT NULL)::INT AS abga_checked", "(bilirubin IS NULL)::INT AS bilirubin_missing"]
+    first = f"{CHART}, r AS (SELECT user_id, hr_no, {', '.join(flags)}, " + ", ".join(f"{ranged[n] if version == 1 else n} AS {n}" for n in CHARTED) + " FROM p)"
+    missing = ["lactate", "ph"] if version == 2 else ["lactate"]
+    names = ["abga_checked", "bilirubin_missing", *[f"{n}_missing" for n in missing]]
+    fill = {n: _lv(n, k) if k else f"coalesce({_lv(n)}, {_fv(n)})" for n, k in limit.items()}
+    f = f"f AS (SELECT user_id, hr_no, {', '.join(names[:2])}, " + ", ".join(f"({n} IS NULL)::INT AS {n}_missing" for n in missing) + ", " + ", ".join(f"{fill[n]} AS {n}" for n in CHARTED) + " FROM r)"
+    if reference:
+        flat = lambda n: f"first_value({n} IGNORE NULLS) OVER (ORDER BY user_id, hr_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+        g = f"g AS (SELECT user_id, hr_no, {', '.join(names)}, " + ", ".join(f"{flat(n) if limit[n] is None else n} AS {n}" for n in CHARTED) + " FROM f)"
+    else:
+        g = "g AS (SELECT * FROM f)"
+    own = lambda n: f"coalesce({n}, median({n}) OVER (PARTITION BY user_id))" if version == 2 and limit[n] else n
+    k = f"k AS (SELECT user_id, hr_no, {', '.join(names)}, " + ", ".join(f"coalesce({own(n)}, {fixed[n]}) AS {n}" if n in fixed else f"{own(n)} AS {n}" for n in CHARTED) + " FROM g), m AS (SELECT " + ", ".join(f"median({n}) AS {n}" for n in CHARTED) + " FROM k)"
+    return f"WITH {first}, {f}, {g}, {k} SELECT k.user_id, k.hr_no, {', '.join(names)}, " + ", ".join(f"round(coalesce(k.{n}, m.{n}), 6) AS {n}" for n in CHARTED) + " FROM k, m"
+
+
+@R.add(_imputed_sql(1))
+def impute_all_v1(spark, sf):
+    """All seventeen columns of a chart, ranges first."""
+    return impute.impute(_chart(spark, sf), "user_id", "hr_no").withColumns({n: F.round(n, 6) for n in CHARTED})
+
+
+@R.add(_imputed_sql(2))
+def impute_all_v2(spark, sf):
+    return impute.impute(_chart(spark, sf), "user_id", "hr_no", version=2).withColumns({n: F.round(n, 6) for n in CHARTED})
+
+
+@R.add(_imputed_sql(1, reference=True))
+def impute_all_reference(spark, sf):
+    """The back-fill that isn't grouped: stays without any value take the next stay's first."""
+    return impute.impute(_chart(spark, sf), "user_id", "hr_no", mode="reference").withColumns({n: F.round(n, 6) for n in CHARTED})
+
+
 MISS = ("hr", "temp", "lactate", "bilirubin", "sao2")
 
 

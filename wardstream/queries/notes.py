@@ -48,15 +48,14 @@ def regex_extract_first(spark, sf):
     return _notes(spark, sf).select("event_id", num(slot_specs.VS_LINE, 1).alias("bp_sys"), num(slot_specs.VS_LINE, 5).alias("temp"), num(r"NRS (\d+)").alias("nrs"), F.length(n).alias("n"))
 
 
-@R.add("SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+', 0), ' ') AS numbers FROM documents WHERE regexp_matches(text, '[0-9]')")
+@R.add("SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+', 0), ' ') AS numbers FROM documents")
 def regex_extract_all(spark, sf):
-    d = table(spark, sf, "documents").where(c("text").rlike("[0-9]"))
-    return d.select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), " ").alias("numbers"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), " ").alias("numbers"))
 
 
-@R.add("SELECT doc_id, TRY_CAST(nullif(regexp_extract(replace(text, ',', ''), '(-?[0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS number FROM documents WHERE length(text) < 3000")
+@R.add("SELECT doc_id, TRY_CAST(nullif(regexp_extract(replace(text, ',', ''), '(-?[0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS number FROM documents")
 def first_number_in_text(spark, sf):
-    return table(spark, sf, "documents").where(F.length("text") < 3000).select("doc_id", first_number(c("text")).alias("number"))
+    return table(spark, sf, "documents").select("doc_id", first_number(c("text")).alias("number"))
 
 
 @R.add(f"""WITH {NOTE} SELECT event_id, regexp_matches(note, '(?i)dyspnea') AS dyspnea, regexp_matches(note, '(?i)diarrhea') AS diarrhea, contains(note, 'no') AS has_no, regexp_matches(note, '(?i)no\\s+(fever|cough|dyspnea|rash|diarrhea)') AS negated FROM n""")

@@ -55,8 +55,15 @@ def tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, Data
     return out
 
 
-def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def jdbc(spark: SparkSession, url: str, query: str, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 64, predicates: list[str] | None = None, **options: str) -> DataFrame:
+    """The rows of a query. With a number column and its bounds, or with predicates that split it, it is read by as many tasks."""
+    read = spark.read.options(**options)
+    source = f"({query}) q"  # `query` and a partition column exclude each other
+    if predicates:
+        return read.jdbc(url, source, predicates=predicates, properties={})
+    if column and bounds:
+        return read.jdbc(url, source, column=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties={})
+    return read.jdbc(url, source, properties={})
 
 
 def spec(path: str, roots: tuple[str, ...] = ()) -> dict:
@@ -76,6 +83,15 @@ def profiles(spark: SparkSession, paths: str, patterns: dict[str, str]) -> DataF
     return t.select("path", *[F.nullif(F.regexp_extract("value", p, 1), F.lit("")).alias(n) for n, p in patterns.items()])
 
 
+#: What a patient's profile names, and how.
+PROFILE = {"infection_code": r"(?mU)^#\s*([A-Z]\d+)", "diagnosis": r"(?U)입원 사유[:\s]*\*\*([^*]+)\*\*", "admit_date": r"(?U)(\d{4}-\d{2}-\d{2})"}
+
+
+def scraped(text: Column, name: str) -> Column:
+    """One of the profile's values, trimmed; null where the text doesn't name it."""
+    return F.nullif(F.trim(F.regexp_extract(text, PROFILE[name], 1)), F.lit(""))
+
+
 def first_dates(docs: DataFrame) -> DataFrame:
     """Each patient's earliest date."""
     return docs.groupBy("patient_id").agg(F.min("date").alias("admit_date"))

@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut; a folder of its own is used only where the session names none."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The folder for checkpoints. One is made only where the session names none and runs on this machine alone, as in tests."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def folder(spark: SparkSession) -> str:
+    """The name of a new folder beside the checkpoints."""
+    return f"{shared(spark)}/stage-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut."""
+    shared(df.sparkSession)
     return df.checkpoint()

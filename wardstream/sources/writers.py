@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -12,9 +12,10 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 
 def csv(df: DataFrame, path: str) -> int:
-    """Writes with a header; returns the number of rows written."""
-    df.write.mode("overwrite").option("header", True).csv(path)
-    return df.sparkSession.read.option("header", True).csv(path).count()
+    """Writes with a header; returns the number of rows written, counted as they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).csv(path)
+    return seen.get["n"]
 
 
 def nested(parents: DataFrame, children: dict[str, DataFrame], key: str) -> DataFrame:
@@ -37,11 +38,12 @@ def keyed(df: DataFrame, *cols: str, name: str = "id") -> DataFrame:
 
 
 def guarded(df: DataFrame, path: str, write: bool) -> int:
-    """Counts the rows; writes them only if asked to."""
-    n = df.count()
-    if write:
-        refresh(df, path)
-    return n
+    """Counts the rows, and writes them only if asked to; either way they are computed once. A write that fails leaves the old rows, as Spark replaces them only then."""
+    if not write:
+        return df.count()
+    seen = Observation()
+    refresh(df.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    return seen.get["n"]
 
 
 def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
