@@ -5,8 +5,9 @@ import json
 from pyspark.sql import functions as F
 
 from wardstream.functions import rules, scalar
-from wardstream.operators import ner, serving, slot_specs
+from wardstream.operators import ner, scoring, serving, slot_specs
 from wardstream.plans import notes
+from wardstream.queries import assembly, cohort
 from wardstream.sources import readers, writers
 from wardstream.streaming import events as streaming
 
@@ -57,6 +58,74 @@ def test_beds_by_hand(spark):
     assert got == {2: (3, "b"), 1: (1, "a"), 3: (None, None), 4: (2, "a")}
 
 
+def placed(people, beds):
+    """The greedy rule as a plain loop over one ward."""
+    first = {x: i for i, x in enumerate(serving.PLACE_FIRST)}
+    free, shared, inside, out = {}, {}, {}, {}
+    for b in beds:
+        free.setdefault(b["room_id"], []).append(b["bed_id"])
+        shared[b["room_id"]] = shared.get(b["room_id"], False) or b["capacity"] > 1
+    for p in sorted(people, key=lambda p: (first.get(p["infection_type"], 9), p["patient_id"])):
+        wanted = [r for r in p["preferred"] or [] if r in free]
+        for r in [*wanted, *[r for r in sorted(free) if r not in wanted]]:
+            if free[r] and (not shared[r] or inside.setdefault(r, set()) <= {p["gender"]}):
+                inside.setdefault(r, set()).add(p["gender"])
+                out[p["patient_id"]] = (min(free[r]), r)
+                free[r].remove(min(free[r]))
+                break
+        else:
+            out[p["patient_id"]] = (None, None)
+    return out
+
+
+def test_beds_against_a_loop(spark, sf_dir):
+    """The registered query on its whole table; most wards have fewer beds than patients."""
+    got = {}
+    for r in cohort.bed_assignment(spark, sf_dir).collect():
+        assert r["patient_id"] not in got
+        got[r["patient_id"]] = (r["bed_id"], r["room_id"])
+    kinds = serving.PLACE_FIRST
+    people, beds = {}, {}
+    for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect():
+        people.setdefault(r["c_nationkey"], []).append({"patient_id": r["c_custkey"], "infection_type": kinds[r["c_custkey"] % 5], "gender": "M" if r["c_acctbal"] > 4000 else "F", "preferred": [f"r{r['c_custkey'] % 4}"]})
+    for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect():
+        beds.setdefault(r["s_nationkey"], []).append({"bed_id": r["s_suppkey"], "room_id": f"r{r['s_suppkey'] % 3}", "capacity": r["s_suppkey"] % 2 + 1})
+    want = {}
+    for ward, ps in people.items():
+        want |= placed(ps, beds.get(ward, []))
+    assert got == want and any(b is not None for b, _ in got.values())
+
+
+def test_transfers_against_a_loop(spark, sf_dir):
+    got = {r["patient_id"]: (r["to_ward"], r["bed_id"]) for r in assembly.transfer_cases(spark, sf_dir).collect()}
+    region = {r["n_nationkey"]: r["n_regionkey"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()}
+    free, want = {}, {}
+    for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect():
+        free.setdefault(region[r["s_nationkey"]], {}).setdefault(r["s_nationkey"], []).append(r["s_suppkey"])
+    for r in sorted((r for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect() if r["c_acctbal"] > 5000), key=lambda r: r["c_custkey"]):
+        pool = free.get(region[r["c_nationkey"]], {})
+        ward = next((w for w in [r["c_nationkey"], *sorted(pool, reverse=True)] if pool.get(w)), None)
+        bed = min(pool[ward]) if ward is not None else None
+        if ward is not None:
+            pool[ward].remove(bed)
+        want[r["c_custkey"]] = (ward, bed)
+    assert got == want and any(b is None for _, b in got.values()) and any(b is not None for _, b in got.values())
+
+
+def test_models_thresholds_and_medians(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, "x"), (3.0, "4"), (None, "6")], "a double, b string")
+    want = {"a": 2.0, "b": 5.0, "c": 0.0}
+    assert scoring.kept_medians(spark, str(tmp_path / "m"), df, ["a", "b", "c"]) == want == scoring.kept_medians(spark, str(tmp_path / "m"), None, ["a"])
+    assert scoring.kept_thresholds(spark, str(tmp_path / "t")) == {"low": 0.3, "high": 0.6, "critical": 0.85}
+    spark.createDataFrame([("thresh_high", 0.7)], "thresh_name string, value double").coalesce(1).write.option("header", True).csv(str(tmp_path / "u"))
+    assert scoring.kept_thresholds(spark, str(tmp_path / "u"))["critical"] == 0.7 + 0.2
+
+
+def test_keys_that_repeat(spark):
+    rows, keys = spark.createDataFrame([(1, "a")], "id long, k string"), spark.createDataFrame([("a", 5), ("a", 3)], "k string, v long")
+    assert [r["v"] for r in serving.cascade(rows, keys, "id", [{"k": F.col("k")}], ["k"], "v").collect()] == [3]
+
+
 def test_small_expressions(spark):
     df = spark.createDataFrame([("MDRO", "patient_10000001", 0.7), ("x", "T05_Patient", 0.1), (None, "??", None)], "kind string, raw string, s double")
     got = df.select(rules.isolation_of(F.col("kind")), scalar.canonical_patient(F.col("raw")), rules.risk_of(F.col("s")), rules.risk_series(F.col("kind"))[0], F.array_join(rules.clinical_flags(F.col("kind")), ",")).collect()
