@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -51,22 +52,21 @@ def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: Stru
     return df.mapInArrow(run, schema)
 
 
-def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Cuts lineage with a checkpoint in the folder that the cluster names in spark.checkpoint.dir.
-
-    A folder of its own is set only where none is named, as in tests.
-    """
-    sc = (spark or df.sparkSession).sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the session or the cluster names. One is made only where neither does and Spark runs on this machine alone."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or unnamed_folder())
-    return df.checkpoint()
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def unnamed_folder() -> str:
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="spark-")
+def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Cuts lineage with a checkpoint in the shared folder."""
+    shared_folder(spark or df.sparkSession)
+    return df.checkpoint()
 
 
 def lower_ascii(c: Column) -> Column:
@@ -129,10 +129,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows written as Parquet beside the checkpoints, where all executors see them, and read again."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or unnamed_folder())
-    to = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    to = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(to)
     return df.sparkSession.read.parquet(to)
 
