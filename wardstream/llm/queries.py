@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, near_dup, secrets, tokens, toxicity, url_rules, vector_dup
+from . import chat, decontaminate, language, mixing, near_dup, periodic, resampling, secrets, tokens, toxicity, url_rules, vector_dup, winnowing
 from .common import crc_of_id, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -133,3 +133,22 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_near_vectors": op6_near_vectors}
+
+
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))).withColumn("best", periodic.longest_run(F.col("runs")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), F.sha2(periodic.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_edited(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op11_resample, op12_periodic_runs, op13_fingerprints)}
