@@ -28,11 +28,6 @@ def shock(first_pressor: Column, first_lactate: Column, hours: float = 24) -> Co
     return F.when(F.abs(hours_between(first_pressor, first_lactate)) <= hours, F.greatest(first_pressor, first_lactate))
 
 
-def within_band(events: DataFrame, anchors: DataFrame, key: str, ts: str, anchor: str, hours: float) -> DataFrame:
-    """Events within so many hours of their key's anchor: an equi-join with a residual, no range join."""
-    return events.join(anchors, key).where(F.abs(hours_between(F.col(ts), F.col(anchor))) <= hours)
-
-
 def worst_ratio(num: Column, den: Column, other: float = 0.21) -> Column:
     """min(num / den) over all pairs of a group's positive values, without the pairs; a group without den divides by `other`."""
     return F.min(F.when(num > 0, num)) / F.coalesce(F.max(F.when(den > 0, den)), F.lit(other))

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def missing(df: DataFrame, cols: tuple[str, ...], label: str | None = None) -> DataFrame:
     """(feature, [label,] n, missing_rate) in one pass over the rows."""
@@ -46,10 +48,12 @@ def retention(df: DataFrame, raw: str, filled: str, label: str) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
-    """(feature, n, mean, std, low, p25, p50, p75, high) in one pass; percentiles are exact."""
-    stats = {"n": lambda x: F.count(x), "mean": lambda x: F.round(F.avg(x), 6), "std": lambda x: F.round(F.stddev(x), 6), "low": F.min, "high": F.max} | {f"p{p}": lambda x, p=p: F.round(F.percentile(x, p / 100), 6) for p in (25, 50, 75)}
+    """(feature, n, mean, std, low, p25, p50, p75, high): one pass for all but the percentiles, which are exact; a column without values has nulls."""
+    stats = {"n": lambda x: F.count(x), "mean": lambda x: F.round(F.avg(x), 6), "std": lambda x: F.round(F.stddev(x), 6), "low": F.min, "high": F.max}
     one = df.agg(*[F.struct(*[f(F.col(c)).alias(n) for n, f in stats.items()]).alias(c) for c in cols])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in cols])).alias("x")).select("x.feature", "x.s.*")
+    one = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in cols])).alias("x")).select("x.feature", "x.s.*")
+    q = quantiles(df, cols, (0.25, 0.5, 0.75)).select("feature", *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+    return one.join(q, "feature", "left").select("feature", "n", "mean", "std", "low", "p25", "p50", "p75", "high")  # a row for each column
 
 
 def counters(df: DataFrame, cols: list[str]) -> DataFrame:

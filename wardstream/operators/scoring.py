@@ -8,6 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+from .segments import windows
+
 
 def roc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """(threshold, tp, fp, tpr, fpr): one point per distinct score, from the highest.
@@ -86,15 +89,15 @@ def confusion(scored: DataFrame, flag: Column, label: str = "label") -> DataFram
 def as_of(grid: DataFrame, obs: DataFrame, key: str, at: str, ts: str, row_cols: list[str], value_cols: list[str]) -> DataFrame:
     """For each grid point, the latest row's row_cols (nulls and all) and each value_col's latest non-null, at or before it.
 
-    One union and one sort per key: observations and grid points are put in one order, and windows
-    carry the last seen values to the grid points; nothing is joined by time.
+    One union and one sort per key, or per segment of a long key: observations and grid points are put
+    in one order, and windows carry the last seen values to the grid points; nothing is joined by time.
     """
     o = obs.select(F.col(key), F.col(ts).alias("_t"), F.lit(0).alias("_g"), F.lit(None).cast(grid.schema[at].dataType).alias(at), F.struct(*row_cols).alias("_row") if row_cols else F.lit(None).alias("_row"), *value_cols)
     g = grid.select(F.col(key), F.col(at).alias("_t"), F.lit(1).alias("_g"), at)
     both = o.unionByName(g, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_g").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"_row": F.last("_row", ignorenulls=True).over(w)} | {c: F.last(c, ignorenulls=True).over(w) for c in value_cols})
-    return both.where("_g = 1").select(key, at, *[F.col("_row")[c].alias(c) for c in row_cols], *value_cols)
+    held = {"_last_row": ("last", "_row")} | {f"_last_{c}": ("last", c) for c in value_cols}
+    both = windows(both, key, ["_t", "_g"], held if row_cols else {n: x for n, x in held.items() if n != "_last_row"})
+    return both.where("_g = 1").select(key, at, *[F.col("_last_row")[c].alias(c) for c in row_cols], *[F.col(f"_last_{c}").alias(c) for c in value_cols])
 
 
 def agreement(a: DataFrame, b: DataFrame, keys: list[str], col: str) -> DataFrame:
@@ -103,10 +106,13 @@ def agreement(a: DataFrame, b: DataFrame, keys: list[str], col: str) -> DataFram
 
 
 def medians(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, median): 0 for a feature that the table lacks or that has no number; one aggregation."""
-    have = set(df.columns)
-    one = df.agg(*[(F.coalesce(F.median(F.col(f).try_cast("double")), F.lit(0.0)) if f in have else F.lit(0.0)).alias(f) for f in features])
-    return one.unpivot([], features, "feature", "median")
+    """(feature, median): exact, 0 for a feature that the table lacks or that has no number."""
+    have = [f for f in features if f in df.columns]
+    every = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    if not have:
+        return every.withColumn("median", F.lit(0.0))
+    q = quantiles(df.select(*[F.col(f).try_cast("double").alias(f) for f in have]), have, [0.5])
+    return every.join(q.select("feature", F.get("q", F.lit(0)).alias("m")), "feature", "left").select("feature", F.coalesce("m", F.lit(0.0)).alias("median"))
 
 
 def kept_medians(spark: SparkSession, path: str, df: DataFrame | None, features: list[str]) -> dict[str, float]:

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hours_between
-from ..operators import features, icu, impute, scoring
+from ..operators import features, impute, panes, scoring
 
 
 def trends(events: DataFrame, key: str = "user_id", ts: str = "ts", kind: str = "event_type", value: str = "value", width: int = 6) -> DataFrame:
     """(key, obs, n, hr, temp, lactate, hr_slope, risk_level): one row per stay and observation hour with measurements.
 
     view, click and purchase stand for heart rate, temperature and lactate. All steps are keyed by the
-    stay, so the data is shuffled once for the windows and once by (stay, hour).
+    stay, so what is shuffled is summed up by stay and hour before.
     """
-    w = Window.partitionBy(key)
-    m = events.withColumn("_t0", F.min(ts).over(w)).withColumn("h", F.floor(hours_between(F.col(ts), F.col("_t0"))).cast("int"))
+    m = events.join(events.groupBy(key).agg(F.min(ts).alias("_t0")), key).withColumn("h", F.floor(hours_between(F.col(ts), F.col("_t0"))).cast("int"))
     item = lambda name: F.when(F.col(kind) == name, F.col(value))
-    g = icu.into_windows(m, "h", width).groupBy(key, "obs").agg(F.count("*").alias("n"), F.median(item("view")).alias("hr"), F.max_by(item("click"), F.when(F.col(kind) == "click", F.col(ts))).alias("temp"), F.max(item("purchase")).alias("lactate"))
+    g = panes.sliding(m, key, *panes.hours("h", width), {
+        "n": ("count", F.lit(1)), "hr": ("median", item("view")), "temp": ("latest", item("click"), F.when(F.col(kind) == "click", F.col(ts))), "lactate": ("max", item("purchase")),
+    })
     g = g.withColumns({c: impute.ffill(c, key, "obs", k) for c, k in (("hr", 24), ("temp", 6), ("lactate", 12))})
     g = g.fillna({"temp": 36.8, "lactate": 1.2, "hr": 0.0})
     g = g.withColumn("hr_slope", F.round(features.slope("hr", "obs", key), 6))

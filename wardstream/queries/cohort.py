@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket, shift_cutoff
 from ..operators import scoring, serving
+from ..operators.quantiles import quantiles
 from .common import Registry, item, table
 
 R = Registry()
@@ -328,7 +329,8 @@ def confusion_counts(spark, sf):
 
 @R.add("SELECT quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.8) AS p80 FROM events")
 def percentiles(spark, sf):
-    return table(spark, sf, "events").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.8).alias("p80"))
+    q = quantiles(table(spark, sf, "events"), ["value"], (0.5, 0.8))
+    return q.select(F.get("q", F.lit(0)).alias("p50"), F.get("q", F.lit(1)).alias("p80"))
 
 
 @R.add("""SELECT l_orderkey, l_partkey, l_linenumber, round(least(1, greatest(0, (coalesce(a, 0) + coalesce(b, 0) + coalesce(d, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (d IS NOT NULL)::INT))), 9) AS risk FROM

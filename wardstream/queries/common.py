@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hours_between
@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as measurements: a user is a stay from its first to its last event, h is the full hours since the first."""
-    w = Window.partitionBy("user_id")
-    e = table(spark, sf_dir, "events").withColumns({"t0": F.min("ts").over(w), "t1": F.max("ts").over(w)})
+    e = table(spark, sf_dir, "events")
+    e = e.join(e.groupBy("user_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")), "user_id")
     return e.withColumn("h", F.floor(hours_between(F.col("ts"), F.col("t0"))).cast("int"))
 
 

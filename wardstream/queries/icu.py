@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket, hour_of, in_range, micros, saturate, steps
-from ..operators import features, icu, impute, profile
+from ..operators import features, icu, impute, intervals, panes, profile
 from .common import MEASURED, Registry, item, measured, table
 
 R = Registry()
@@ -81,7 +81,7 @@ def cardio_score(spark, sf):
 def band_join_min(spark, sf):
     e = table(spark, sf, "events")
     anchors = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("t"))
-    near = icu.within_band(e.select("user_id", "ts", "value"), anchors, "user_id", "ts", "t", 48)
+    near = intervals.within_band(e.select("user_id", "ts", "value"), anchors, "user_id", "ts", "t", 48)
     return near.groupBy("user_id").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
 
 
@@ -127,30 +127,28 @@ def interval_expand(spark, sf):
 SELECT o.user_id, CAST(obs AS INTEGER) AS obs, count(*) AS n, median(value) AS hr, min(value) AS spo2_min, max(value) AS hr_max, max_by(value, ts) AS temp, round(sum(value), 6) AS urine, round(avg(value), 6) AS rate
 FROM o JOIN m ON m.user_id = o.user_id AND h > obs - 6 AND h <= obs GROUP BY 1, 2""")
 def sliding_window_6h(spark, sf):
-    w = icu.into_windows(measured(spark, sf), "h", 6)
-    return w.groupBy("user_id", "obs").agg(
-        F.count("*").alias("n"), F.median("value").alias("hr"), F.min("value").alias("spo2_min"), F.max("value").alias("hr_max"), F.max_by("value", "ts").alias("temp"),
-        F.round(F.sum("value"), 6).alias("urine"), F.round(F.avg("value"), 6).alias("rate"),
-    )
+    v = c("value")
+    w = panes.sliding(measured(spark, sf), "user_id", *panes.hours("h", 6), {
+        "n": ("count", F.lit(1)), "hr": ("median", v), "spo2_min": ("min", v), "hr_max": ("max", v), "temp": ("latest", v, c("ts")), "urine": ("sum", v), "rate": ("avg", v),
+    })
+    return w.withColumns({x: F.round(x, 6) for x in ("urine", "rate")})
 
 
 @R.add(f"""WITH {MEASURED}, o AS (SELECT DISTINCT user_id, obs FROM m, range(6, 73) t(obs))
 SELECT o.user_id, CAST(obs AS INTEGER) AS obs, min(CASE WHEN event_type = 'view' AND value > 10 THEN value END) AS ph, CASE WHEN max(CASE WHEN event_type = 'click' THEN value END) > 20 THEN 20 ELSE max(CASE WHEN event_type = 'click' THEN value END) END AS lactate,
   median(CASE WHEN event_type = 'purchase' THEN value END) AS wbc FROM o JOIN m ON m.user_id = o.user_id AND h > obs - 24 AND h <= obs GROUP BY 1, 2""")
 def lab_window_24h(spark, sf):
-    w = icu.into_windows(measured(spark, sf), "h", 24)
-    return w.groupBy("user_id", "obs").agg(
-        F.min(F.when(c("value") > 10, item("view"))).alias("ph"), saturate(F.max(item("click")), hi=20.0).alias("lactate"), F.median(item("purchase")).alias("wbc")
-    )
+    w = panes.sliding(measured(spark, sf), "user_id", *panes.hours("h", 24), {"ph": ("min", F.when(c("value") > 10, item("view"))), "lactate": ("max", item("click")), "wbc": ("median", item("purchase"))})
+    return w.withColumn("lactate", saturate(c("lactate"), hi=20.0))
 
 
 @R.add(f"""WITH {MEASURED}, o AS (SELECT user_id, t0 + to_hours(CAST(obs AS INTEGER)) AS hi, t0 + to_hours(CAST(obs - 6 AS INTEGER)) AS lo, obs FROM (SELECT DISTINCT user_id, t0 FROM m), range(6, 73) t(obs))
 SELECT o.user_id, CAST(obs AS INTEGER) AS obs, count(*) AS n, round(avg(value), 6) AS mean FROM o JOIN m ON m.user_id = o.user_id AND ts BETWEEN lo AND hi GROUP BY 1, 2""")
 def closed_window_mean(spark, sf):
     """Closed on both sides: an event on a full hour since the start belongs to one window more."""
-    w = measured(spark, sf).withColumn("up", F.ceil((micros(c("ts")) - micros(c("t0"))) / 3.6e9).cast("int")).withColumn("h", c("h"))
-    lo, hi = F.greatest(c("up"), F.lit(6)), F.least(c("h") + 6, F.lit(72))
-    return w.where(lo <= hi).withColumn("obs", F.explode(F.sequence(lo, hi))).groupBy("user_id", "obs").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    up = F.ceil((micros(c("ts")) - micros(c("t0"))) / 3.6e9).cast("int")
+    w = panes.sliding(measured(spark, sf), "user_id", F.greatest(up, F.lit(6)), F.least(c("h") + 6, F.lit(72)), {"n": ("count", F.lit(1)), "mean": ("avg", c("value"))})
+    return w.withColumn("mean", F.round("mean", 6))
 
 
 EVENTS = {"death": "error", "vent": "purchase", "pressor": "signup"}
