@@ -30,7 +30,7 @@ def fill(entities: DataFrame, slots: DataFrame, least: float = 0.5, id_col: str
 
     An entity names its slot itself (slot_name) or by its label, in either case of letters. A missing
     score counts 0.75; scores below `least` go; mdro_flag counts in microbiology only; a number
-    without digits goes.
+    without digits goes. A given `value` is read like a text, as lanes are typed here: `HR 77` is 77.
     """
     e = entities if "slot_name" in entities.columns else entities.withColumn("slot_name", F.lit(None).cast("string"))
     e = e.withColumns({"slot": F.coalesce("slot_name", slot_of(F.upper("label"))), "confidence": F.coalesce("score", F.lit(0.75))})

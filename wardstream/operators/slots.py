@@ -1,19 +1,22 @@
 """Slots from the text of clinical documents: rules as columns, typed lanes, merging, validation, normalization.
 
-A rule is a pattern with the slot, lane and confidence that a match gives; a rule list becomes one
-projection that builds an array of slot structs per document, without any Python per row. Values
-live in lanes (v_num, v_bool, v_str, v_arr, v_obj), as each slot has one known type.
+A rule is a pattern with the slot, lane and confidence that a match gives. All rules are one array of
+data: an automaton says which of them a note can match at all, and one expression tries those and
+builds the note's slots. Values live in lanes (v_num, v_bool, v_str, v_arr, v_obj), as each slot has
+one known type.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import contains_map, let, sorted_distinct
+from ..functions.scalar import let, sorted_distinct
 from . import slot_specs as S
 
 OBJ = "struct<status:string,organism:string>"
@@ -36,9 +39,21 @@ def one(when: Column, s: Column) -> Column:
     return F.when(when, F.array(s)).otherwise(F.array().cast(f"array<{SLOT}>"))
 
 
+def _num(v: Column) -> Column:
+    return v.try_cast("double")
+
+
 @dataclass(frozen=True)
 class Rule:
-    """kind: first | flag | false | all. cast turns the group's text into the value; keep says which values count."""
+    """What a match of a pattern gives, as data: all rules are one array, which one expression walks.
+
+    kind: first (the first match's group), all (every match's), flag and false (true or false where
+    anything matches), part (kept for slots that need several patterns, under the rule's name). how
+    makes the group's text a value: num, whole, lower, upper, trim, hours, or map: the value of the
+    first key that the lower-cased text holds, else `other` (*lower and *upper: the text itself).
+    Numbers beyond `unit` are in single units and are divided by 1000, then rounded half-even to
+    `digits`, or cut to a whole number (0). lo, hi and barred say which values count.
+    """
 
     slot: str
     pattern: str
@@ -46,133 +61,234 @@ class Rule:
     kind: str = "flag"
     group: int = 1
     confidence: float = 0.9
-    cast: object = None
-    keep: object = None
+    how: str = "keep"
     cut: int | None = None
     doc_types: tuple[str, ...] = ()
-
-    def column(self, text: Column, doc_type: Column) -> Column:
-        cast = self.cast or (lambda v: v)
-        if self.kind == "all":
-            values = F.regexp_extract_all(text, F.lit(self.pattern), F.lit(self.group))
-            whole = F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
-            pairs = F.filter(F.arrays_zip(values.alias("v"), whole.alias("w")), lambda x: self.keep(cast(x["v"])) if self.keep else F.lit(True))
-            out = F.transform(pairs, lambda x: slot(self.slot, self.lane, cast(x["v"]), self.confidence, self.short(x["w"])))
-        else:
-            hit, whole = text.rlike(self.pattern), F.regexp_extract(text, self.pattern, 0)
-            value = F.lit(self.kind == "flag") if self.kind != "first" else cast(found(text, self.pattern, self.group))
-            if self.kind == "first":
-                hit = F.coalesce(self.keep(value), F.lit(False)) if self.keep else found(text, self.pattern, self.group).isNotNull()
-            out = one(hit, slot(self.slot, self.lane, value, self.confidence, self.short(whole)))
-        return F.when(doc_type.isin(*self.doc_types), out).otherwise(F.array().cast(f"array<{SLOT}>")) if self.doc_types else out
-
-    def short(self, w: Column) -> Column:
-        return F.substring(w, 1, self.cut) if self.cut else F.trim(w)
+    lo: float | None = None
+    hi: float | None = None
+    barred: tuple[str, ...] = ()
+    digits: int | None = None
+    unit: float | None = None
+    keys: tuple[tuple[str, str], ...] = ()
+    other: str | None = None
 
 
-def _num(v: Column) -> Column:
-    return v.try_cast("double")
-
-
-def lab_value(digits: int | None, unit: float | None = None) -> object:
-    """Rounded half-even, or cut to a whole number; beyond `unit` the value is in single units and is divided by 1000."""
-
-    def cast(v: Column) -> Column:
-        x = _num(v)
-        x = F.when(x > unit, x / 1000).otherwise(x) if unit else x
-        return F.bround(x, digits) if digits is not None else x.cast("long").cast("double")
-
-    return cast
+#: Types of what isn't text.
+NUMBERS = {"group": "int", "cut": "int", "digits": "int", "confidence": "double", "lo": "double", "hi": "double", "unit": "double"}
 
 
 def rules() -> list[Rule]:
-    vs = lambda name, g: Rule(name, S.VS_LINE, "num", "first", g, 0.95, _num, cut=60)
-    p = S.PATTERNS
+    vs = lambda name, g: Rule(name, S.VS_LINE, "num", "first", g, 0.95, "num", cut=60)
+    p, micro = S.PATTERNS, ("microbiology",)
     flags = lambda *names: [Rule(n, p[n], cut=80 if n == "cluster_suspected" else None, confidence=0.85 if n == "cluster_suspected" else 0.9) for n in names]
-    pain = lambda g: Rule("pain_nrs_value", p["pain_nrs"], "num", "all", g, 0.9, _num, lambda v: v.between(0, 10))
+    words = lambda n, how="lower", **more: Rule(n, p[n], "str", "first", how=how, **more)
+    mapped = lambda n, pattern, keys, other, **more: Rule(n, p[pattern], "str", "first", how="map", keys=tuple(keys), other=other, **more)
     return [
         *[vs(n, g) for g, n in enumerate(("bp_sys", "bp_dia", "hr_value", "rr_value", "temp_value", "spo2_value"), 1)],
-        Rule("spo2_value", p["spo2"], "num", "all", 1, 0.9, _num, lambda v: v.between(50, 100)),
-        Rule("o2_device", p["o2_device"], "str", "first", cast=lambda v: contains_map(F.lower(v), S.O2_DEVICES, F.upper(v))),
-        Rule("o2_flow_lpm", p["o2_flow"], "num", "first", cast=_num),
-        Rule("resp_support_event", p["o2_action"], "str", "first", cast=lambda v: contains_map(F.lower(v), S.O2_ACTIONS, F.lower(v))),
-        Rule("vitals_frequency", p["vitals_frequency"], "str", "first", cast=lambda v: F.concat(F.lit("q"), v, F.lit("h"))),
+        Rule("spo2_value", p["spo2"], "num", "all", how="num", lo=50, hi=100),
+        mapped("o2_device", "o2_device", S.O2_DEVICES, "*upper"),
+        Rule("o2_flow_lpm", p["o2_flow"], "num", "first", how="num"),
+        mapped("resp_support_event", "o2_action", S.O2_ACTIONS, "*lower"),
+        words("vitals_frequency", "hours"),
         *flags("dyspnea"),
-        Rule("work_of_breathing", p["work_of_breathing"], "str", "first", 0, cast=lambda v: contains_map(F.lower(v), S.BREATHING, F.lit("mild"))),
+        mapped("work_of_breathing", "work_of_breathing", S.BREATHING, "mild", group=0),
         *flags("altered_mentation", "diarrhea", "nausea_vomiting"),
-        *[pain(g) for g in (1, 2, 3, 4)],
-        Rule("breath_sounds", p["breath_sounds"], "str", "first", cast=F.lower),
-        Rule("sputum_character", p["sputum_character"], "str", "first", cast=F.lower),
+        *[Rule("pain_nrs_value", p["pain_nrs"], "num", "all", g, how="num", lo=0, hi=10) for g in (1, 2, 3, 4)],
+        words("breath_sounds"),
+        words("sputum_character"),
         *flags("foley_catheter", "tick_eschar", "tick_exposure", "intake_output_monitoring"),
-        Rule("isolation_required", p["isolation_required"], "str", "first", cast=F.lower),
+        words("isolation_required"),
         *flags("isolation_applied"),
         Rule("isolation_applied", p["isolation_gap"], kind="false"),
-        Rule("mdro_flag", p["mdro_alert"], "str", "first", confidence=0.95, cast=F.upper, doc_types=("microbiology",)),
+        Rule("mdro_flag", p["mdro_alert"], "str", "first", confidence=0.95, how="upper", doc_types=micro),
         *flags("cluster_suspected", "icu_eval_mentioned", "transfer_consideration", "rapid_response", "sepsis_bundle_mentioned", "vasopressor_mentioned"),
-        Rule("culture_ordered", p["culture_ordered"], "str", "all", cast=F.lower),
-        *[Rule(n, pat, "num", "first", 1, 0.95, lab_value(digits, unit)) for n, pat, digits, unit in S.LABS],
-        Rule("specimen_type", p["specimen"], "str", "first", confidence=0.95, cast=F.lower, doc_types=("microbiology",)),
-        Rule("gram_stain", p["gram_stain"], "str", "first", cast=F.trim, doc_types=("microbiology",)),
-        Rule("colony_count", p["colony_count"], "str", "first", cast=F.trim, keep=lambda v: ~F.lower(v).isin(*S.NO_VALUE), doc_types=("microbiology",)),
+        Rule("culture_ordered", p["culture_ordered"], "str", "all", how="lower"),
+        *[Rule(n, pat, "num", "first", 1, 0.95, "num", digits=digits or 0, unit=unit) for n, pat, digits, unit in S.LABS],
+        Rule("specimen_type", p["specimen"], "str", "first", confidence=0.95, how="lower", doc_types=micro),
+        Rule("gram_stain", p["gram_stain"], "str", "first", how="trim", doc_types=micro),
+        Rule("colony_count", p["colony_count"], "str", "first", how="trim", doc_types=micro, barred=S.NO_VALUE),
+        *[Rule(n, S.VS_LINE if n == "vs_line" else p[n], kind="part", group=0 if n in WHOLE else 1) for n in PARTS],
+        Rule("o2_change_to", p["o2_change"], kind="part", group=2),
+        Rule("pain_location_2", p["pain_location"], kind="part", group=2),
     ]
 
 
-def parts(text: Column) -> dict[str, Column]:
-    """Pieces of text that several rules look at; columns of their own, so that each is found once."""
-    p = S.PATTERNS
-    every = lambda name, g=1: F.regexp_extract_all(text, F.lit(p[name]), F.lit(g))
-    return {
-        "_temp": F.when(~text.rlike(S.VS_LINE), _num(found(text, p["temp"], 1))), "_from": found(text, p["o2_change"], 1).try_cast("int"), "_to": found(text, p["o2_change"], 2).try_cast("int"),
-        "_start": F.coalesce(found(text, p["abx_start"]), found(text, p["abx_start_after"])), "_change": found(text, p["abx_change"]), "_escalate": found(text, p["abx_escalate"]), "_prn": every("prn"),
-        "_place": F.coalesce(found(text, p["pain_location"], 1), found(text, p["pain_location"], 2)), "_org": F.trim(found(text, p["organism"], 1)), "_status": F.upper(F.trim(found(text, p["culture_status"], 1))),
-        "_resistant": every("resistant"), "_finds": F.transform(every("cxr_finding"), lambda x: F.lower(x)), "_spots": F.transform(every("cxr_location"), lambda x: F.upper(x)), "_said": F.transform(every("cxr_severity"), lambda x: F.lower(x)),
-        "_worse": found(text, p["cxr_worsening"]), "_better": found(text, p["cxr_improving"]), "_normal": text.rlike(p["cxr_normal"]),
+#: Patterns whose matches go into slots that need more than one of them; of some the whole match is wanted.
+WHOLE = ("vs_line", "abx_start", "abx_start_after", "abx_change", "abx_escalate", "cxr_worsening", "cxr_improving", "cxr_normal")
+PARTS = (
+    "vs_line", "temp", "o2_change", "abx_start", "abx_start_after", "abx_change", "abx_escalate", "prn", "pain_location", "organism", "culture_status", "resistant", "cxr_finding", "cxr_location", "cxr_severity",
+    "cxr_worsening", "cxr_improving", "cxr_normal",
+)
+
+
+def folded(text: str) -> str:
+    """Without case, as the patterns are read: the dotted and the dotless i are i."""
+    return text.translate({0x130: "i", 0x131: "i"}).casefold()
+
+
+def literals(pattern: str) -> frozenset[str] | None:
+    """Texts one of which every match holds, without case: the longest that the pattern's parts give; None if there are none."""
+    from re import _parser  # the tree that Python itself makes of a pattern
+
+    def of(nodes) -> frozenset[str] | None:
+        found, run = [], ""
+        for op, arg in [*nodes, (None, None)]:
+            name = str(op)
+            if name == "LITERAL":
+                run += folded(chr(arg))
+                continue
+            found.append(frozenset([run]) if run else None)
+            run = ""
+            if name == "SUBPATTERN":
+                found.append(of(arg[3]))
+            elif name == "BRANCH":
+                each = [of(x) for x in arg[1]]
+                found.append(None if None in each else frozenset().union(*each))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                found.append(of(arg[2]))
+            elif name == "IN" and all(str(x) == "LITERAL" for x, _ in arg):
+                found.append(frozenset(folded(chr(x)) for _, x in arg))
+        found = [x for x in found if x]
+        return max(found, key=lambda x: (min(map(len, x)), -len(x))) if found else None
+
+    return of(_parser.parse(re.sub(r"^\(\?[imU]+\)", "", pattern)))
+
+
+def hits(text: Column, every: list[Rule]) -> Column:
+    """The places of the rules one of whose texts a note holds, rising: one pass of an Aho-Corasick automaton over it."""
+    asked: dict[str, list[int]] = {}
+    always = []
+    for i, r in enumerate(every):
+        for x in literals(r.pattern) or always.append(i) or ():
+            asked.setdefault(x, []).append(i)
+    made = []
+
+    @F.pandas_udf("array<int>")
+    def found(texts: pd.Series) -> pd.Series:
+        if not made:
+            import ahocorasick
+
+            a = ahocorasick.Automaton()
+            for x, rules_of in asked.items():
+                a.add_word(x, rules_of)
+            a.make_automaton()
+            made.append(a)
+        return pd.Series([sorted({i for _, ids in made[0].iter(folded(t)) for i in ids}.union(always)) for t in texts])
+
+    return found(text)
+
+
+def text_rule(r: Rule) -> str:
+    """SQL for a rule as a struct."""
+    def value(name: str, x) -> str:
+        if name in NUMBERS:
+            return f"CAST({'NULL' if x is None else x} AS {NUMBERS[name]})"
+        if name == "keys":
+            return f"CAST(array({', '.join(f'array({quoted(k)}, {quoted(v)})' for k, v in x)}) AS array<array<string>>)"
+        return f"CAST(array({', '.join(map(quoted, x))}) AS array<string>)" if isinstance(x, tuple) else f"CAST({'NULL' if x is None else quoted(x)} AS string)"
+
+    return "struct(" + ", ".join(f"{value(n, x)} AS {n}" for n, x in vars(r).items()) + ")"
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def text_slot(name: str, lane: str, value: str, confidence: float, evidence: str, method: str = "regex") -> str:
+    """SQL for a slot; as text, as hundreds of calls for each part of an expression take seconds to build."""
+    types = {"num": ("number", "double"), "bool": ("boolean", "boolean"), "str": ("string", "string"), "arr": ("array", "array<string>"), "obj": ("object", OBJ)}
+    lanes = ", ".join(f"CAST({value if k == lane else 'NULL'} AS {t}) AS v_{k}" for k, (_, t) in types.items())
+    return f"struct({name} AS slot, {quoted(types[lane][0])} AS vtype, {lanes}, {quoted(method)} AS method, CAST({confidence} AS double) AS confidence, {evidence} AS evidence)"
+
+
+def text_map(text: str, pairs: Sequence[tuple[str, str]], other: str) -> str:
+    """SQL for the value of the first key, in order, that the text holds."""
+    known = ", ".join(f"struct({quoted(k)} AS k, {quoted(v)} AS v)" for k, v in pairs)
+    return f"coalesce(get(filter(array({known}), q -> contains({text}, q.k)), 0).v, {other})"
+
+
+def matches(every: list[Rule]) -> str:
+    """SQL for an array of (r, z): each rule that fits the document's type and matches, with its group (v) and the whole (w) of each match; only rules whose texts the note holds are tried."""
+    held = f"array({', '.join(map(text_rule, every))})"  # constant, so that Spark makes it once
+    fits = f"filter(transform(_hits, i -> get({held}, i)), r -> size(r.doc_types) = 0 OR array_contains(r.doc_types, document_type))"
+    pairs = "transform(arrays_zip(regexp_extract_all(_text, r.pattern, r.group), regexp_extract_all(_text, r.pattern, 0)), x -> struct(x.`0` AS v, x.`1` AS w))"
+    return f"filter(transform({fits}, r -> struct(r AS r, {pairs} AS z)), m -> size(m.z) > 0)"
+
+
+#: The slots of one rule m's matches: each match's value in the rule's lane, those that count, as slots.
+TOLD = f"""transform(filter(transform(IF(m.r.kind = 'all', m.z, slice(m.z, 1, 1)), x -> transform(array(IF(m.r.kind = 'all', x.v, nullif(x.v, ''))), v -> struct(v AS v, x.w AS w,
+    IF(m.r.lane = 'num', transform(array(try_cast(v AS double)), n -> transform(array(IF(n > m.r.unit, n / 1000, n)), y ->
+      CASE m.r.digits WHEN 0 THEN CAST(CAST(y AS bigint) AS double) WHEN 1 THEN bround(y, 1) WHEN 2 THEN bround(y, 2) ELSE y END)[0])[0], CAST(NULL AS double)) AS n,
+    CASE m.r.how WHEN 'lower' THEN lower(v) WHEN 'upper' THEN upper(v) WHEN 'trim' THEN trim(v) WHEN 'hours' THEN concat('q', v, 'h')
+      WHEN 'map' THEN IF(v IS NULL, NULL, coalesce(get(get(filter(m.r.keys, k -> contains(lower(v), get(k, 0))), 0), 1), CASE m.r.other WHEN '*upper' THEN upper(v) WHEN '*lower' THEN lower(v) ELSE m.r.other END)) END AS s))[0]),
+  x -> (m.r.lo IS NULL OR coalesce(x.n BETWEEN m.r.lo AND m.r.hi, false)) AND (size(m.r.barred) = 0 OR coalesce(NOT array_contains(m.r.barred, lower(x.s)), false)) AND (m.r.kind <> 'first' OR x.v IS NOT NULL)),
+  x -> struct(m.r.slot AS slot, CASE m.r.lane WHEN 'num' THEN 'number' WHEN 'bool' THEN 'boolean' ELSE 'string' END AS vtype, x.n AS v_num, IF(m.r.lane = 'bool', m.r.kind = 'flag', CAST(NULL AS boolean)) AS v_bool,
+    IF(m.r.lane = 'str', x.s, CAST(NULL AS string)) AS v_str, CAST(NULL AS array<string>) AS v_arr, CAST(NULL AS {OBJ}) AS v_obj, 'regex' AS method, m.r.confidence AS confidence, IF(m.r.cut IS NULL, trim(x.w), substring(x.w, 1, m.r.cut)) AS evidence))"""
+
+
+def parts() -> str:
+    """SQL for a struct of the pieces of text that several slots look at, from the matches."""
+    of = lambda name, side="v": f"coalesce(get(transform(filter(_m, m -> m.r.kind = 'part' AND m.r.slot = '{name}'), m -> transform(m.z, x -> x.{side})), 0), CAST(array() AS array<string>))"
+    first = lambda name, side="v": f"nullif(get({of(name, side)}, 0), '')"
+    cased = lambda how, name: f"transform({of(name)}, x -> {how}(x))"
+    found = {
+        "temp": f"IF(size({of('vs_line', 'w')}) = 0, try_cast({first('temp')} AS double), NULL)", "temp_w": first("temp", "w"), "o2_from": f"try_cast({first('o2_change')} AS int)", "o2_to": f"try_cast({first('o2_change_to')} AS int)",
+        "o2_w": first("o2_change", "w"), "started": f"coalesce({first('abx_start')}, {first('abx_start_after')})", "changed": first("abx_change"), "escalated": first("abx_escalate"), "prn": of("prn"),
+        "place": f"coalesce({first('pain_location')}, {first('pain_location_2')})", "place_w": first("pain_location", "w"), "org": f"trim({first('organism')})", "org_w": first("organism", "w"), "status": f"upper(trim({first('culture_status')}))",
+        "status_w": first("culture_status", "w"), "resistant": of("resistant"), "finds": cased("lower", "cxr_finding"), "spots": cased("upper", "cxr_location"), "said": cased("lower", "cxr_severity"),
+        "worse": first("cxr_worsening"), "better": first("cxr_improving"), "normal": f"size({of('cxr_normal', 'w')}) > 0",
     }
+    return "struct(" + ", ".join(f"{x} AS {n}" for n, x in found.items()) + ")"
 
 
-def special(text: Column, doc_type: Column) -> list[Column]:
-    """Slots that need more than one pattern, from the columns of `parts`."""
-    p, c = S.PATTERNS, F.col
-    if_micro, if_rad = (lambda cond, x: one((doc_type == "microbiology") & cond, x)), (lambda cond, x: one((doc_type == "radiology") & cond, x))
-    grade = F.array_max(F.transform("_said", lambda x: F.when(x.isin("marked", "extensive", "severe"), 4).when(x == "moderate", 3).when(x == "mild", 2).otherwise(1)))
-    named = F.get(F.array(*map(F.lit, ("minimal", "mild", "moderate", "severe"))), grade - 1)
-    org = F.when(~F.lower("_org").isin(*S.NO_VALUE), c("_org"))
-    st = c("_status")
-    status = F.when(st.isin("COLLECTED", "PENDING"), "pending").when(st == "PRELIMINARY", "preliminary").when(st.isin("POSITIVE", "POS"), "pos").when(st.isin("NEGATIVE", "NEG", "NO GROWTH"), "neg").when(st == "FINAL", F.when(org.isNotNull(), "pos").otherwise("neg")).otherwise(F.lower(st))
-    n, worse, better = F.size("_finds"), c("_worse").isNotNull(), c("_better").isNotNull()
-    guess = F.when(worse & (n >= 2), "severe").when(worse, "moderate").when(better, "mild").when(n >= 2, "moderate").otherwise("mild")
-    change = F.when(worse, "worsening").when(better, "improving")
-    graded = F.size("_said") > 0
-    return [
-        one(c("_temp").between(35, 42), slot("temp_value", "num", c("_temp"), 0.9, F.regexp_extract(text, p["temp"], 0))),
-        one(c("_from").isNotNull() & c("_to").isNotNull(), slot("resp_support_event", "str", F.when(c("_to") > c("_from"), "increase").when(c("_to") < c("_from"), "decrease").otherwise("none"), 0.9, F.regexp_extract(text, p["o2_change"], 0))),
-        *[one(c(f"_{k}").isNotNull(), slot("abx_event", "str", F.lit(k), 0.9, F.substring(c(f"_{k}"), 1, 60))) for k in ("start", "change", "escalate")],
-        one(F.size("_prn") > 0, slot("prn_interventions", "arr", sorted_distinct(F.transform("_prn", lambda x: contains_map(F.lower(x), S.PRN, F.lit("unknown")))), 0.9, F.array_join("_prn", ", "))),
-        one(c("_place").isNotNull(), slot("pain_location_hint", "str", contains_map(F.lower("_place"), S.PAIN_PLACES, F.lit("unknown")), 0.9, F.regexp_extract(text, p["pain_location"], 0))),
-        if_micro(org.isNotNull(), slot("organism", "str", org, 0.95, F.trim(F.regexp_extract(text, p["organism"], 0)))),
-        if_micro(st.isNotNull(), slot("culture_result", "obj", F.struct(status.alias("status"), org.alias("organism")), 0.95, F.regexp_extract(text, p["culture_status"], 0))),
-        if_micro(F.size("_resistant") > 0, slot("resistance_detected", "arr", sorted_distinct(c("_resistant")), 0.95, F.array_join(F.slice("_resistant", 1, 3), " | "))),
-        if_rad(n > 0, slot("cxr_lesion_type", "arr", sorted_distinct(F.transform("_finds", lambda x: contains_map(x, S.FINDINGS, x))), 0.9, F.array_join("_finds", ", "))),
-        if_rad(F.size("_spots") > 0, slot("cxr_location", "arr", sorted_distinct(F.transform("_spots", lambda x: F.when(x == "BOTH", "bilateral").otherwise(x))), 0.9, F.array_join("_spots", ", "))),
-        if_rad(change.isNotNull(), slot("cxr_change_direction", "str", change, 0.9, F.coalesce("_worse", "_better"))),
-        if_rad(graded, slot("cxr_severity", "str", named, 0.85, F.concat(F.lit("severity: "), named))),
-        if_rad(~graded & c("_normal"), slot("cxr_severity", "str", F.lit("normal"), 0.85, F.lit("no active findings"))),
-        if_rad(~graded & ~c("_normal") & (n > 0), slot("cxr_severity", "str", guess, 0.7, F.concat(F.lit("inferred from findings="), n.cast("string")), "regex_inferred")),
+def special() -> str:
+    """SQL for the array of slots that need more than one pattern, from the struct p of `parts`; of p and g, what follows from several parts."""
+    derived = {
+        "org": f"IF(lower(p.org) IN ({', '.join(map(quoted, S.NO_VALUE))}), NULL, p.org)", "n": "size(p.finds)",
+        "named": "get(array('minimal', 'mild', 'moderate', 'severe'), array_max(transform(p.said, x -> CASE WHEN x IN ('marked', 'extensive', 'severe') THEN 4 WHEN x = 'moderate' THEN 3 WHEN x = 'mild' THEN 2 ELSE 1 END)) - 1)",
+        "change": "CASE WHEN p.worse IS NOT NULL THEN 'worsening' WHEN p.better IS NOT NULL THEN 'improving' END",
+    }
+    status = """CASE WHEN p.status IN ('COLLECTED', 'PENDING') THEN 'pending' WHEN p.status = 'PRELIMINARY' THEN 'preliminary' WHEN p.status IN ('POSITIVE', 'POS') THEN 'pos'
+      WHEN p.status IN ('NEGATIVE', 'NEG', 'NO GROWTH') THEN 'neg' WHEN p.status = 'FINAL' THEN IF(g.org IS NOT NULL, 'pos', 'neg') ELSE lower(p.status) END"""
+    guess = "CASE WHEN p.worse IS NOT NULL AND g.n >= 2 THEN 'severe' WHEN p.worse IS NOT NULL THEN 'moderate' WHEN p.better IS NOT NULL THEN 'mild' WHEN g.n >= 2 THEN 'moderate' ELSE 'mild' END"
+    distinct = lambda x: f"array_sort(array_distinct({x}))"
+    micro, rad = "document_type = 'microbiology' AND ", "document_type = 'radiology' AND "
+    every = [
+        ("p.temp BETWEEN 35 AND 42", text_slot("'temp_value'", "num", "p.temp", 0.9, "p.temp_w")),
+        ("p.o2_from IS NOT NULL AND p.o2_to IS NOT NULL", text_slot("'resp_support_event'", "str", "CASE WHEN p.o2_to > p.o2_from THEN 'increase' WHEN p.o2_to < p.o2_from THEN 'decrease' ELSE 'none' END", 0.9, "p.o2_w")),
+        *[(f"p.{k} IS NOT NULL", text_slot("'abx_event'", "str", quoted(v), 0.9, f"substring(p.{k}, 1, 60)")) for k, v in (("started", "start"), ("changed", "change"), ("escalated", "escalate"))],
+        ("size(p.prn) > 0", text_slot("'prn_interventions'", "arr", distinct(f"transform(p.prn, x -> {text_map('lower(x)', S.PRN, quoted('unknown'))})"), 0.9, "array_join(p.prn, ', ')")),
+        ("p.place IS NOT NULL", text_slot("'pain_location_hint'", "str", text_map("lower(p.place)", S.PAIN_PLACES, quoted("unknown")), 0.9, "p.place_w")),
+        (micro + "g.org IS NOT NULL", text_slot("'organism'", "str", "g.org", 0.95, "trim(p.org_w)")),
+        (micro + "p.status IS NOT NULL", text_slot("'culture_result'", "obj", f"struct({status} AS status, g.org AS organism)", 0.95, "p.status_w")),
+        (micro + "size(p.resistant) > 0", text_slot("'resistance_detected'", "arr", distinct("p.resistant"), 0.95, "array_join(slice(p.resistant, 1, 3), ' | ')")),
+        (rad + "g.n > 0", text_slot("'cxr_lesion_type'", "arr", distinct(f"transform(p.finds, x -> {text_map('x', S.FINDINGS, 'x')})"), 0.9, "array_join(p.finds, ', ')")),
+        (rad + "size(p.spots) > 0", text_slot("'cxr_location'", "arr", distinct("transform(p.spots, x -> IF(x = 'BOTH', 'bilateral', x))"), 0.9, "array_join(p.spots, ', ')")),
+        (rad + "g.change IS NOT NULL", text_slot("'cxr_change_direction'", "str", "g.change", 0.9, "coalesce(p.worse, p.better)")),
+        (rad + "size(p.said) > 0", text_slot("'cxr_severity'", "str", "g.named", 0.85, "concat('severity: ', g.named)")),
+        (rad + "size(p.said) = 0 AND p.normal", text_slot("'cxr_severity'", "str", "'normal'", 0.85, "'no active findings'")),
+        (rad + "size(p.said) = 0 AND NOT p.normal AND g.n > 0", text_slot("'cxr_severity'", "str", guess, 0.7, "concat('inferred from findings=', CAST(g.n AS string))", "regex_inferred")),
     ]
+    none = f"CAST(array() AS array<{SLOT}>)"
+    slots = ", ".join(f"IF({when}, array({made}), {none})" for when, made in every)
+    return f"get(transform(array({parts()}), p -> get(transform(array(struct({', '.join(f'{x} AS {n}' for n, x in derived.items())})), g -> concat({slots})), 0)), 0)"
 
 
 def extract(docs: DataFrame, id_col: str = "document_id", text_col: str = "raw_text", type_col: str = "document_type", notify_col: str | None = None) -> DataFrame:
     """(id, document_type, seq, slot and its lanes), all slots that any rule emits, in the rules' order.
 
-    notify_mentioned is set for nursing notes only, from the structured flag. Null texts give none.
+    One pass over a note finds which rules' texts it holds, and only their patterns are tried. notify_mentioned
+    is set for nursing notes only, from the structured flag. Null texts give none; a note is read whole.
     """
-    text, kind = F.col("_text"), F.col("document_type")
-    told = F.coalesce(F.col(notify_col).cast("boolean"), F.lit(False)) if notify_col else F.lit(False)
-    base = docs.select(F.col(id_col), F.col(type_col).alias("document_type"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), told.alias("_told"))
-    arrays = [r.column(text, kind) for r in rules()] + special(text, kind)
+    text, kind, every = F.col("_text"), F.col("document_type"), rules()
+    told_ = F.coalesce(F.col(notify_col).cast("boolean"), F.lit(False)) if notify_col else F.lit(False)
+    base = docs.select(F.col(id_col), F.col(type_col).alias("document_type"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), told_.alias("_told"))
+    made = f"concat(flatten(transform(filter(_m, m -> m.r.kind <> 'part'), m -> {TOLD})), {special()})"
+    # _m is a variable of the expression, so that its patterns are tried once however often it is used
+    arrays = [F.expr(f"get(transform(array({matches(every)}), _m -> {made}), 0)")]
     if notify_col:
         arrays.append(one(kind == "nursing_note", slot("notify_mentioned", "bool", F.col("_told"), 0.99, F.concat(F.lit("notify_md="), F.col("_told").cast("string")), "structured")))
-    rows = base.withColumns(parts(text)).select(id_col, "document_type", F.filter(F.flatten(F.array(*arrays)), lambda x: x.isNotNull()).alias("s"))
+    rows = base.withColumn("_hits", hits(text, every)).select(id_col, "document_type", F.concat(*arrays).alias("s"))
     return rows.select(id_col, "document_type", F.posexplode("s").alias("seq", "s")).select(id_col, "document_type", "seq", "s.*")
 
 
@@ -285,13 +401,11 @@ def first_pain(*texts: Column) -> Column:
 
 
 def serialized(slots: DataFrame, spec: dict[str, dict]) -> DataFrame:
-    """Adds value_type and value_text: numbers and words as they are, flags, lists and objects as JSON."""
-    text = lambda x: F.when(x.isNull(), "null").otherwise(F.concat(F.lit('"'), x, F.lit('"')))
+    """Adds value_type and value_text: numbers and words as they are, flags, lists and objects as JSON, whatever stands in their texts; null items are null."""
     whole = F.col("slot").isin(*[n for n, d in spec.items() if d["type"] == "integer"])
     number = F.when(whole, F.col("v_num").cast("long").cast("string")).otherwise(F.col("v_num").cast("string"))
-    listed = F.when(F.col("v_arr").isNotNull(), F.concat(F.lit("["), F.array_join(F.transform("v_arr", text), ", "), F.lit("]")))
-    held = F.when(F.col("v_obj").isNotNull(), F.concat(F.lit('{"status": '), text(F.col("v_obj.status")), F.lit(', "organism": '), text(F.col("v_obj.organism")), F.lit("}")))
-    return slots.withColumns({"value_type": F.col("vtype"), "value_text": F.coalesce(number, F.col("v_bool").cast("string"), "v_str", listed, held)})
+    held = F.to_json("v_obj", {"ignoreNullFields": "false"})
+    return slots.withColumns({"value_type": F.col("vtype"), "value_text": F.coalesce(number, F.col("v_bool").cast("string"), "v_str", F.to_json("v_arr"), held)})
 
 
 def split(slots: DataFrame, id_col: str = "document_id") -> tuple[DataFrame, DataFrame, DataFrame]:

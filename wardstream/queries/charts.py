@@ -73,14 +73,20 @@ x AS (SELECT event_id, slot, lane, replace(replace(value, '{{k}}', CAST(k AS VAR
 WHAT = _said_sql()
 
 
+_KEPT = {}
+
+
 def _charts(spark, sf):
-    """Merged slots of all notes, before validation."""
-    kinds, texts = (F.array(*[F.lit(x[i]) for x in TEXTS]) for i in (0, 1))
-    at, text = c("k") % 16 + 1, c("note")
-    e = table(spark, sf, "events").select("event_id", _k().alias("k")).withColumns({"kind": F.element_at(kinds, at), "note": F.element_at(texts, at)})
-    e = e.withColumn("note", F.replace(F.replace(text, F.lit("{k}"), c("k").cast("string")), F.lit("{d}"), (c("k") % 10).cast("string"))).withColumn("told", c("k") % 3 == 0)
-    found = stage(slots.extract(e, "event_id", "note", "kind", "told"))
-    return slots.merged(slots.with_defaults(found, "event_id"), "event_id")
+    """Merged slots of all notes, before validation: extracted once for all queries of a session, and read from where they are kept."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _KEPT:
+        kinds, texts = (F.array(*[F.lit(x[i]) for x in TEXTS]) for i in (0, 1))
+        of, text = c("k") % 16 + 1, c("note")
+        e = table(spark, sf, "events").select("event_id", _k().alias("k")).withColumns({"kind": F.element_at(kinds, of), "note": F.element_at(texts, of)})
+        e = e.withColumn("note", F.replace(F.replace(text, F.lit("{k}"), c("k").cast("string")), F.lit("{d}"), (c("k") % 10).cast("string"))).withColumn("told", c("k") % 3 == 0)
+        found = stage(slots.extract(e, "event_id", "note", "kind", "told"))
+        _KEPT[at] = stage(slots.merged(slots.with_defaults(found, "event_id"), "event_id"))
+    return _KEPT[at]
 
 
 @R.add(f"WITH {WHAT} SELECT event_id, slot, round(CAST(value AS DOUBLE), 6) AS v_num FROM x WHERE lane = 'num'")
@@ -112,8 +118,8 @@ def slot_objects(spark, sf):
 
 @R.add(f"""WITH {WHAT} SELECT event_id, slot, CASE lane WHEN 'num' THEN 'number' WHEN 'bool' THEN 'boolean' WHEN 'str' THEN 'string' WHEN 'arr' THEN 'array' ELSE 'object' END AS value_type,
   CASE lane WHEN 'num' THEN CASE WHEN slot IN ('spo2_value', 'platelet_value', 'ast_value', 'alt_value', 'pain_nrs_value', 'hr_value', 'rr_value', 'bp_sys', 'bp_dia') THEN CAST(CAST(CAST(value AS DOUBLE) AS BIGINT) AS VARCHAR) ELSE CAST(CAST(value AS DOUBLE) AS VARCHAR) END
-    WHEN 'arr' THEN '["' || replace(value, '|', '", "') || '"]'
-    WHEN 'obj' THEN '{{"status": "' || split_part(value, '|', 1) || '", "organism": ' || CASE WHEN split_part(value, '|', 2) = '' THEN 'null' ELSE '"' || split_part(value, '|', 2) || '"' END || '}}' ELSE value END AS value_text FROM x""")
+    WHEN 'arr' THEN '["' || replace(value, '|', '","') || '"]'
+    WHEN 'obj' THEN '{{"status":"' || split_part(value, '|', 1) || '","organism":' || CASE WHEN split_part(value, '|', 2) = '' THEN 'null' ELSE '"' || split_part(value, '|', 2) || '"' END || '}}' ELSE value END AS value_text FROM x""")
 def slot_serialized(spark, sf):
     """Each slot's type and value as text: numbers and words as they are, flags, lists and objects as JSON."""
     return slots.serialized(_charts(spark, sf), slot_specs.SLOTS).select("event_id", "slot", "value_type", "value_text")

@@ -69,16 +69,26 @@ def keyword_tags(spark, sf):
     )
 
 
+#: What a note says beside its numbers: types of events, slot, and the value as flag, word or list.
+BESIDE = (
+    (("view",), "dyspnea", "true", "NULL", "NULL"), (("view",), "nausea_vomiting", "true", "NULL", "NULL"), (("error",), "diarrhea", "true", "NULL", "NULL"),
+    (("view", "click", "signup", "purchase"), "notify_mentioned", "false", "NULL", "NULL"), (("error",), "o2_device", "NULL", "'NC'", "NULL"), (("view", "click", "signup", "purchase"), "o2_device", "NULL", "'RA'", "NULL"),
+    (("click",), "abx_event", "NULL", "'start'", "NULL"), (("click",), "isolation_required", "NULL", "'contact'", "NULL"), (("click",), "vitals_frequency", "NULL", "'q4h'", "NULL"), (("signup", "purchase"), "culture_ordered", "NULL", "NULL", "'blood'"),
+)
+
+
 @R.add(f"""WITH {NOTE}, s AS (SELECT event_id, 'spo2_value' AS slot, CAST(80 + k % 19 AS DOUBLE) AS v FROM n UNION ALL SELECT event_id, 'temp_value', CAST('3' || (6 + k % 5) || '.' || (k % 10) AS DOUBLE) FROM n WHERE CAST('3' || (6 + k % 5) || '.' || (k % 10) AS DOUBLE) BETWEEN 35 AND 42
+  UNION ALL SELECT event_id, 'bp_sys', 90 + k FROM n UNION ALL SELECT event_id, 'bp_dia', 50 + k % 40 FROM n UNION ALL SELECT event_id, 'hr_value', 60 + k FROM n UNION ALL SELECT event_id, 'rr_value', 12 + k % 20 FROM n UNION ALL SELECT event_id, 'o2_flow_lpm', k % 9 FROM n WHERE event_type = 'error'
   UNION ALL SELECT event_id, 'wbc_value', CASE WHEN k * 170 > 100 THEN round_even(k * 170 / 1000, 1) ELSE k * 170 END FROM n WHERE event_type = 'error' UNION ALL SELECT event_id, 'platelet_value', CASE WHEN k * 20 > 1000 THEN floor(k * 20 / 1000) ELSE k * 20 END FROM n WHERE event_type = 'error'
   UNION ALL SELECT event_id, 'pain_nrs_value', k % 13 FROM n WHERE event_type = 'view' AND k % 13 <= 10 UNION ALL SELECT event_id, 'lactate_value', k % 30 + 0.5 FROM n WHERE event_type IN ('signup', 'purchase') AND k % 30 + 0.5 <= 20)
-SELECT event_id, slot, round(v, 6) AS v_num FROM s""")
+SELECT event_id, slot, round(v, 6) AS v_num, NULL::BOOLEAN AS v_bool, NULL::VARCHAR AS v_str, NULL::VARCHAR AS items, false AS changed FROM s """ + " ".join(
+    f"UNION ALL SELECT event_id, '{slot}', NULL, {flag}, {word}, {items}, {slot == 'culture_ordered'} FROM n WHERE event_type IN ({', '.join(repr(x) for x in kinds)})" for kinds, slot, flag, word, items in BESIDE))
 def note_slots(spark, sf):
-    """Extraction, defaults, merging, disabled axes and normalization of every note; numeric slots whose values the SQL knows."""
+    """Extraction, defaults, merging, disabled axes and normalization of every note: all slots, in all lanes."""
     found = stage(slots.extract(_notes(spark, sf).withColumn("told", F.lit(None).cast("boolean")), "event_id", "note", "kind", "told"))
     s = slots.enabled(slots.merged(slots.with_defaults(found, "event_id"), "event_id"), slot_specs.DISABLED)
     s = slots.normalized(stage(s), slot_specs.SLOTS)
-    return s.where(c("slot").isin("spo2_value", "temp_value", "wbc_value", "platelet_value", "pain_nrs_value", "lactate_value")).select("event_id", "slot", F.round("v_num", 6).alias("v_num"))
+    return s.select("event_id", "slot", F.round("v_num", 6).alias("v_num"), "v_bool", "v_str", F.array_join("v_arr", "|").alias("items"), "changed")
 
 
 @R.add("""SELECT event_id, CASE WHEN event_type NOT IN ('view', 'click', 'error', 'purchase') THEN 'unknown_slot' WHEN value NOT BETWEEN 5 AND 100 AND event_type <> 'purchase' THEN 'out_of_range' END AS issue FROM events""")

@@ -27,7 +27,7 @@ def folder(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: written once as Parquet, so that a reader takes only the columns it needs.
 
-    A checkpoint would run the rows twice, once to count and once to write them. The folder stays until the shared one is cleared.
+    Parquet lets later plans push projections and filters down to it. The folder stays until the shared one is cleared.
     """
     spark, to = df.sparkSession, folder(df.sparkSession)
     df.write.parquet(to)
