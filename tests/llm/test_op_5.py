@@ -133,3 +133,14 @@ def test_recall_of_planted_pairs(spark):
     got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
     assert sum(i != c for i, c in want.items()) > 0.9 * n
     assert got == want
+
+
+def test_each_id_with_several_texts_links_the_copies_of_one(spark):
+    """Forty ids with two unrelated texts each, and a near copy of either: exactly one of the two copies is linked."""
+    rng, rows = random.Random(6), []
+    for k in range(40):
+        for side in (0, 1):
+            words = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+            rows += [(k, " ".join(words)), (1000 + 10 * k + side, " ".join([*words[:-1], "end"]))]
+    by = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert all(by[k] == k and sorted([by[1000 + 10 * k] == k, by[1001 + 10 * k] == k]) == [False, True] for k in range(40))

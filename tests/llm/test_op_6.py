@@ -90,3 +90,9 @@ def test_chains_of_three_and_four(spark, s):
     rows += [(2000 + k, [float(np.float32(x)) for x in v]) for k, v in enumerate(rng.normal(size=(60, 64)))]
     df = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "vec_id long, embedding array<float>")
     check(V.near_vectors(df, s).collect(), rows)
+
+
+def test_very_large_and_very_small_numbers(spark):
+    rows = [(k, v) for k, v in enumerate([[1e200, 1e200], [1e200, 1.1e200], [1e-200, 1e-200], [1e-200, -1e-200], [1e-300, 1.05e-300], [1e300, 1e-300], [1.0, 0.0], [0.0, 5e-324]])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (0, 3), 4: (3, 0), 5: (1, 5), 6: (1, 5), 7: (0, 7)}

@@ -111,7 +111,7 @@ def sketches(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFr
         for t in batch.column(1).to_pylist():
             x = shingles(t, hashes[0], s.words)
             n.append(len(x))
-            full = np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64).tolist() if len(x) else (None, None)
+            full = fingerprint(x) if len(x) else (None, None)
             f1.append(full[0])
             f2.append(full[1])
             sig.append(signature(x, a, b) if len(x) else None)
@@ -122,26 +122,39 @@ def sketches(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFr
     return map_rows(docs.select(id_col, text_col), rows, schema)
 
 
+def fingerprint(x: np.ndarray) -> list[int]:
+    """128 bits of a full shingle set, as two whole numbers."""
+    return np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64).tolist()
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(id, set) of the documents named; the ids go to the texts where they are few, else both are shuffled."""
+    """(id, set) of the documents named by (id, f1, f2); the ids go to the texts where they are few, else both are shuffled.
+
+    Of an id with several texts the one with that fingerprint counts.
+    """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    named = texts.join(F.broadcast(ids) if few_rows(ids, s.broadcast_rows) else ids, "id", "left_semi")
+    named = texts.join(F.broadcast(ids) if few_rows(ids, s.broadcast_rows) else ids, "id").select("id", "t", "f1", "f2")
     hashes = []
 
     def rows(batch):
         if not hashes:
             hashes.append(WordHashes())
-        return {"id": batch.column(0), "set": [shingles(t, hashes[0], s.words).view(np.int64) for t in batch.column(1).to_pylist()]}
+        out = []
+        for t, *want in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            x = shingles(t, hashes[0], s.words)
+            out.append(x.view(np.int64) if fingerprint(x) == want else None)
+        return {"id": batch.column(0), "set": out}
 
     schema = StructType([StructField("id", texts.schema["id"].dataType), StructField("set", ArrayType(LongType()))])
-    # of an id with several texts one set, whichever row comes first
-    return map_rows(named, rows, schema).groupBy("id").agg(F.max("set").alias("set"))
+    # repeated rows have equal sets
+    return map_rows(named, rows, schema).where("set IS NOT NULL").groupBy("id").agg(F.max("set").alias("set"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) whose full sets are near enough."""
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) of classes whose full sets are near enough."""
     pairs = cut(pairs)
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), s, id_col, text_col)
+    named = classes.select(F.col("rep").alias("id"), "f1", "f2").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    sets = sets_of(docs, named, s, id_col, text_col)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     return cut(common.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * s.percent).select("a", "b"))
@@ -294,9 +307,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     sketch = classes.withColumn("p", F.transform(F.slice("sig", 1, s.posted), lambda v, c: F.struct(c.alias("coord"), F.xxhash64(c, v).alias("list"))))
     posts = sketch.select("rep", F.explode("p").alias("p")).select("rep", "p.coord", "p.list")
     alone = classes.select("rep", F.col("rep").alias("comp"))
-    comp = joined(alone, confirmed(hubs(posts, s), docs, s, id_col, text_col))
-    comp = joined(comp, confirmed(across(comp, sketch, s, s.partners), docs, s, id_col, text_col))
-    comp = joined(comp, confirmed(across(comp, sketch, s), docs, s, id_col, text_col))
+    comp = joined(alone, confirmed(hubs(posts, s), classes, docs, s, id_col, text_col))
+    comp = joined(comp, confirmed(across(comp, sketch, s, s.partners), classes, docs, s, id_col, text_col))
+    comp = joined(comp, confirmed(across(comp, sketch, s), classes, docs, s, id_col, text_col))
     final = comp.select("rep", F.col("comp").alias("component_id"))
     of_class = cut(classes.select("f1", "f2", "rep").join(final, "rep").select("f1", "f2", "component_id"))
     # texts that were copied very often make a hot key: Spark's adaptive join splits it, as both sides are plain shuffles

@@ -42,8 +42,13 @@ def bounds(dim: int, s: Settings) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), whole * (b - a) / dim + 1e-9) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two, which changes no cosine, so that no square is too large or too small."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -112,7 +117,7 @@ def joined(pdf, s: Settings):
 
     pdf = pdf.sort_values(["home", "rep"], ascending=[False, True])  # guests last: two of them aren't compared here
     rep, n, home, part = (pdf[c].to_numpy() for c in ("rep", "n", "home", "own"))
-    x = np.array(pdf["vec"].tolist(), np.float64)
+    x = scaled(np.array(pdf["vec"].tolist(), np.float64))
     f = unit(x) @ rotation(x.shape[1], s.seed)
     block, low, high = int(pdf["block"].iloc[0]), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
     links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
