@@ -101,8 +101,8 @@ def fingerprints(df: DataFrame, k: int = GRAM, window: int = WINDOW, id_col: str
     return map_rows(df.select(id_col, F.col(text_col)), rows, schema)
 
 
-#: Texts of a range of ids, in bytes; and how many ranges there are at most: beyond some 300 GB they grow instead.
-RANGE_BYTES, RANGES = 32 << 20, 10_000
+#: Texts of a range of ids, in bytes; and how many ranges there are at most: beyond some 160 GB they grow instead.
+RANGE_BYTES, RANGES = 16 << 20, 10_000
 
 
 def tops(df: DataFrame, id_col: str, text_col: str) -> list:
@@ -139,7 +139,8 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     head = F.coalesce(F.get(F.array(*[F.lit(x).cast(df.schema[id_col].dataType) for x in high]), F.col("_r")).eqNullSafe(F.col("id")), F.lit(False))
     own, guest = F.struct(F.col("_r").alias("range"), F.lit(False).alias("guest")), F.struct(F.pmod(F.col("_r") - 1, F.lit(len(high))).alias("range"), F.lit(True).alias("guest"))
     dealt = rows.withColumn("_p", F.explode(F.when(head, F.array(own, guest)).otherwise(F.array(own)))).select("id", "text", "_p.range", "_p.guest")
-    return dealt.repartition("range").sortWithinPartitions("range", "guest", F.desc_nulls_last("id"), "text")
+    # as many tasks as ranges, so that one gets no more than the few ranges that hash alike
+    return dealt.repartition(len(high), "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("id"), "text")
 
 
 def compare_edited(df: DataFrame, k: int = GRAM, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
