@@ -143,3 +143,25 @@ def test_stream(spark, tmp_path):
     q.stop()
     want = streaming.windowed(e).groupBy("user_id").agg(F.sum("n").alias("n"))
     assert sorted(map(tuple, spark.table("w").groupBy("user_id").agg(F.sum("n")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_mute_numbers_are_read_by_their_span(spark):
+    from wardstream.operators import ner
+
+    docs = spark.createDataFrame([("d", "sat 91 on NC")], "document_id string, raw_text string")
+    ents = spark.createDataFrame(
+        [("d", "SPO2", "low", None, 4, 6), ("d", "hr", "fast", "88", 4, 6), ("d", "RR", "quick", None, None, None), ("d", "TEMP", "37.5", None, 0, 3), ("d", "WOB", "labored", None, 0, 3)],
+        "document_id string, label string, text string, value string, start int, end int",
+    )
+    got = {r["label"]: r["text"] for r in ner.with_text(ents, docs).collect()}
+    assert got == {"SPO2": "91", "hr": "88", "RR": "quick", "TEMP": "37.5", "WOB": "labored"}
+
+
+def test_iso_times(spark):
+    from pyspark.sql import functions as F
+
+    from wardstream.functions.scalar import age_at, iso_time
+
+    texts = ["2024-02-29T10:00:00Z", " 2024-02-29 10:00+02:00 ", "2024-02-29", "2023-02-29", "2024", "", None, "at 2024-02-29", "2024-02-29T25:00:00Z"]
+    r = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.unix_seconds(iso_time(F.col("t"))).alias("s"), age_at(F.lit(40), F.lit(2020), iso_time(F.col("t"))).alias("age")).orderBy("i").collect()
+    assert [x["s"] for x in r] == [1709200800, 1709193600, 1709164800] + [None] * 6 and [x["age"] for x in r] == [44] * 3 + [None] * 6

@@ -70,6 +70,21 @@ def first_number(text: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(text, ",", ""), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
 
 
+def iso_time(text: Column) -> Column:
+    """A timestamp from ISO text: a date, or date and time with or without a zone (`Z` or an offset); null for anything else.
+
+    Times without a zone are in the session's.
+    """
+    t = F.trim(text)
+    full = F.regexp_replace(t, r"([T ]\d{2}:\d{2})(?=$|Z|[+-])", "$1:00")
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"), full.try_cast("timestamp"))
+
+
+def age_at(anchor_age: Column, anchor_year: Column, at: Column) -> Column:
+    """The age in the year of a time, from the age in an anchor year; times are shifted, so only years count."""
+    return anchor_age + F.year(at) - anchor_year
+
+
 def shift_of(ts: Column) -> Column:
     """Day from 6, Evening from 14, Night from 22."""
     h = F.hour(ts)

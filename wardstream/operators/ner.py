@@ -48,13 +48,15 @@ def fill(entities: DataFrame, slots: DataFrame, least: float = 0.5, id_col: str
 def with_text(entities: DataFrame, docs: DataFrame, id_col: str = "document_id", raw_col: str = "raw_text") -> DataFrame:
     """Entities with label and text, whatever form they came in: `type` stands in for a label, `value` comes before `text`.
 
-    Where both are missing the text is read from the document by the span (start, end); only these
-    entities meet the documents' texts.
+    Where both are missing, or a slot of numbers has a text without digits and no value, the text is
+    read from the document by the span (start, end); only these entities meet the documents' texts.
     """
     have = set(entities.columns)
     col = lambda n, t="string": F.col(n) if n in have else F.lit(None).cast(t)
     e = entities.withColumns({"label": F.coalesce(col("label"), col("type")), "text": F.coalesce(col("value"), col("text"))})
-    bare = F.col("text").isNull() & col("start", "int").isNotNull() & col("end", "int").isNotNull()
+    slot = F.coalesce(col("slot_name"), slot_of(F.upper("label")))
+    mute = col("value").isNull() & slot.isin(*NUMBERS) & ~F.col("text").rlike(r"\d")
+    bare = (F.col("text").isNull() | F.coalesce(mute, F.lit(False))) & col("start", "int").isNotNull() & col("end", "int").isNotNull()
     read = e.where(bare).join(docs.select(id_col, F.col(raw_col).alias("_raw")), id_col, "left")
     read = read.withColumn("text", F.substring(F.col("_raw"), F.col("start") + 1, F.col("end") - F.col("start"))).select(*e.columns)
     return e.where(~F.coalesce(bare, F.lit(False))).unionByName(read)

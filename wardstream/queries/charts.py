@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import shift_of
 from ..operators import slot_specs, slots, trajectory
 from ..operators import trajectory_rules as T
 from ..sources.stages import stage
@@ -217,12 +218,13 @@ def diff_changed(spark, sf):
 
 
 @R.add(f"""WITH e AS (SELECT *, CASE WHEN event_type = 'view' THEN value END AS t, CASE {K} % 4 WHEN 0 THEN 'stop' WHEN 1 THEN 'change' END AS a FROM events), w AS (SELECT *, {_prev('t')} AS p FROM e),
-f AS (SELECT user_id, ts, 7 AS rank, 'temp_spike' AS event_type FROM w WHERE t - p >= 0.5 UNION ALL SELECT user_id, ts, 13, 'temp_down' FROM w WHERE p - t >= 0.5 UNION ALL SELECT user_id, ts, 18, 'abx_discontinuation' FROM w WHERE a = 'stop')
-SELECT user_id AS patient_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, {"CASE hour(ts) // 1 WHEN -1 THEN 0 ELSE 0 END"}, rank, event_type) AS place FROM f""")
+f AS (SELECT user_id, date_trunc('day', ts) AS day, CASE WHEN hour(ts) BETWEEN 6 AND 13 THEN 0 WHEN hour(ts) BETWEEN 14 AND 21 THEN 1 ELSE 2 END AS shift, rank, event_type FROM (SELECT user_id, ts, 7 AS rank, 'temp_spike' AS event_type FROM w WHERE t - p >= 0.5 UNION ALL SELECT user_id, ts, 13, 'temp_down' FROM w WHERE p - t >= 0.5 UNION ALL SELECT user_id, ts, 18, 'abx_discontinuation' FROM w WHERE a = 'stop'))
+SELECT user_id AS patient_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY day, shift, rank, event_type) AS place FROM f""")
 def event_order(spark, sf):
-    """A patient's events in order: time, shift, axis, rule, type."""
+    """A patient's events in order: time (known to the day only), shift, axis, rule, type."""
     names = ("temp_spike", "temp_down", "abx_discontinuation")
     rules = [(r if r[0] in names else (r[0], r[1], {"slot": "none", "equals": "never"}, r[3])) for r in T.RULES["B_infection_activity"]]
     k = _k() % 4
     e = _fired(spark, sf, "B_infection_activity", (), rules, temp_value=F.when(c("event_type") == "view", c("value")), abx_event=F.when(k == 0, "stop").when(k == 1, "change"))
+    e = e.withColumn("shift", shift_of(c("doc_datetime"))).withColumn("doc_datetime", F.date_trunc("day", "doc_datetime"))
     return e.select("patient_id", "event_type", F.row_number().over(trajectory.order_of(["patient_id"])).cast("long").alias("place"))

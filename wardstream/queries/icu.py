@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import bucket, hour_of, in_range, micros, saturate, steps
+from ..functions.scalar import age_at, bucket, hour_of, in_range, iso_time, micros, saturate, steps
 from ..operators import features, icu, impute, intervals, panes, profile
 from .common import MEASURED, Registry, item, measured, table
 
@@ -437,3 +437,16 @@ def delta_and_units(spark, sf):
     text = F.when(c("event_id") % 9 == 0, "n/a").otherwise(c("event_id").cast("string"))
     f = (c("event_type") == "view") & (c("value") > 50)
     return table(spark, sf, "events").select("event_id", F.round(c("value") - F.lag("value").over(w), 9).alias("delta"), F.when(f, F.round((c("value") - 32) * 5 / 9, 9)).otherwise(c("value")).alias("celsius"), text.try_cast("double").alias("parsed"))
+
+
+_FORMS = "CASE event_id % 8 WHEN 0 THEN s || 'Z' WHEN 1 THEN s || '+09:00' WHEN 2 THEN s WHEN 3 THEN ' ' || s || '.250Z ' WHEN 4 THEN substr(s, 1, 10) WHEN 5 THEN '' WHEN 6 THEN substr(s, 1, 4) ELSE 'on ' || s END"
+
+
+@R.add(f"""WITH t AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS s FROM events), p AS (SELECT event_id, ts, user_id, {_FORMS} AS text,
+  CASE event_id % 8 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) - INTERVAL 9 HOUR WHEN 2 THEN date_trunc('second', ts) WHEN 3 THEN date_trunc('second', ts) + INTERVAL 250 MILLISECOND WHEN 4 THEN date_trunc('day', ts) END AS moment FROM t)
+SELECT event_id, text, epoch_us(moment) AS at_us, CAST(20 + user_id % 60 + year(moment) - (2020 + user_id % 9) AS BIGINT) AS age FROM p""")
+def iso_times_and_ages(spark, sf):
+    """Times in ISO forms, with zones and without, and ages in those years from an anchor year."""
+    e = table(spark, sf, "events").withColumn("s", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).withColumn("text", F.expr(_FORMS))
+    at = iso_time(c("text"))
+    return e.select("event_id", "text", F.unix_micros(at).alias("at_us"), age_at(20 + c("user_id") % 60, 2020 + c("user_id") % 9, at).cast("long").alias("age"))
