@@ -102,7 +102,7 @@ def test_transfers_against_a_loop(spark, sf_dir):
     free, want = {}, {}
     for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect():
         free.setdefault(region[r["s_nationkey"]], {}).setdefault(r["s_nationkey"], []).append(r["s_suppkey"])
-    for r in sorted((r for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect() if r["c_acctbal"] > 5000), key=lambda r: r["c_custkey"]):
+    for r in sorted(spark.read.parquet(f"{sf_dir}/customer.parquet").collect(), key=lambda r: r["c_custkey"]):
         pool = free.get(region[r["c_nationkey"]], {})
         ward = next((w for w in [r["c_nationkey"], *sorted(pool, reverse=True)] if pool.get(w)), None)
         bed = min(pool[ward]) if ward is not None else None
@@ -112,6 +112,34 @@ def test_transfers_against_a_loop(spark, sf_dir):
     assert got == want and any(b is None for _, b in got.values()) and any(b is not None for _, b in got.values())
 
 
+def test_places_of_a_hot_ward(spark):
+    """A ward with most patients, rooms that hold one class, ties in priority, wishes for rooms that don't exist, nulls, and a ward without beds."""
+    import random
+
+    rnd = random.Random(5)
+    people = [(rnd.choice(["a", "a", "a", "b", "c", None]), i, rnd.choice([*serving.PLACE_FIRST, "x", None]), rnd.choice(["F", "M", None]), rnd.choice([None, [], ["r1", "r9"], ["r3", "r0"], ["r2"]])) for i in range(600)]
+    beds = [(rnd.choice(["a", "a", "b"]), i, f"r{rnd.randrange(6)}", rnd.choice([1, 1, 2])) for i in range(60)]
+    p = spark.createDataFrame(people, "ward string, patient_id long, infection_type string, gender string, preferred array<string>")
+    b = spark.createDataFrame(beds, "ward string, bed_id long, room_id string, capacity int")
+    want = {i: (None, None) for _, i, *_ in people}
+    for w in "abc":
+        ps = [dict(zip(("patient_id", "infection_type", "gender", "preferred"), x[1:])) for x in people if x[0] == w]
+        want |= placed(ps, [dict(zip(("bed_id", "room_id", "capacity"), x[1:])) for x in beds if x[0] == w])
+    assert {r["patient_id"]: (r["bed_id"], r["room_id"]) for r in serving.assign_beds(p, b).collect()} == want and sum(x[0] is not None for x in want.values()) > 20
+    assert {tuple(r)[2:] for r in serving.assign_beds(p, b.where("false")).collect()} == {(None, None)} and serving.assign_beds(p.where("false"), b).count() == 0
+
+
+def test_updates_that_repeat(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    twice = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "k long, v string, at long")
+    assert {tuple(r) for r in serving.updated(rows, twice, "k", ["v"], F.col("at")).collect()} == {(1, "y"), (2, "b")}
+    try:
+        serving.updated(rows, twice, "k", ["v"]).collect()
+        raise AssertionError("two changes of a key went through")
+    except Exception as e:
+        assert "changed more than once: 1" in str(e)
+
+
 def test_models_thresholds_and_medians(spark, tmp_path):
     df = spark.createDataFrame([(1.0, "x"), (3.0, "4"), (None, "6")], "a double, b string")
     want = {"a": 2.0, "b": 5.0, "c": 0.0}

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import places
+
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The newest row per key; `order` must end in something unique."""
@@ -92,42 +94,22 @@ PLACE_FIRST = ("MDRO", "Tick-borne", "Pneumonia", "UTI", "Waterborne")
 
 
 def assign_beds(patients: DataFrame, beds: DataFrame, ward: str = "ward") -> DataFrame:
-    """(ward, patient_id, bed_id, room_id): greedy, each ward on its own.
+    """(ward, patient_id, bed_id, room_id): greedy, each ward on its own, in rounds over all wards (see `places`).
 
     patients: ward, patient_id, infection_type, gender, preferred (array of rooms). beds: ward, bed_id,
     room_id, capacity. By priority and id, a patient gets the lowest bed of the first room, preferred
     ones first and then by name, that has one and, if shared, holds no other gender; patients without
-    a place get nulls. What one gets depends on all before, so a ward is one group. Its beds bound it:
-    once a patient finds no place, nobody later with the same gender and preferences does, so of each
-    such class only as many as the ward has beds are looked at, and the rest get nulls at once.
+    a place or a ward get nulls. (ward, patient_id) is a key. Once a patient finds no place, nobody
+    later with the same gender and preferences does, so of each such class only as many as the ward
+    has beds ask for one.
     """
-    import pandas as pd
-
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, PLACE_FIRST)), F.col("infection_type")), F.lit(0))
-    turn = Window.partitionBy(ward, "gender", "preferred").orderBy(F.when(rank == 0, 10).otherwise(rank), "patient_id")
-    count = beds.groupBy(ward).agg(F.count("*").alias("_beds"))
-    people = patients.withColumn("_turn", F.row_number().over(turn)).join(count, ward, "left").withColumn("_in", F.coalesce(F.col("_turn") <= F.col("_beds"), F.lit(False)))
-    late = people.where("NOT _in").select(ward, "patient_id", *[F.lit(None).cast(beds.schema[x].dataType).alias(x) for x in ("bed_id", "room_id")])
-    patients = people.where("_in").drop("_turn", "_beds", "_in")
-
-    def place(key, people: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
-        free = {r: sorted(g["bed_id"]) for r, g in places.groupby("room_id")}
-        shared = places.groupby("room_id")["capacity"].max() > 1
-        inside: dict[str, set] = {r: set() for r in free}
-        first = {x: i for i, x in enumerate(PLACE_FIRST)}
-        out, rest = [], sorted(free)
-        for p in sorted(people.itertuples(), key=lambda p: (first.get(p.infection_type, 9), p.patient_id)):
-            wanted = [r for r in (p.preferred if p.preferred is not None else []) if r in free]
-            room = next((r for r in [*wanted, *(x for x in rest if x not in wanted)] if free[r] and (not shared[r] or not inside[r] - {p.gender})), None)
-            bed = free[room].pop(0) if room else None
-            if room:
-                inside[room].add(p.gender)
-            out.append((key[0], p.patient_id, bed, room))
-        return pd.DataFrame(out, columns=[ward, "patient_id", "bed_id", "room_id"])
-
-    types = {f.name: f.dataType.simpleString() for f in [*patients.schema, *beds.schema]}
-    schema = f"{ward} {types[ward]}, patient_id {types['patient_id']}, bed_id {types['bed_id']}, room_id {types['room_id']}"
-    return patients.groupBy(ward).cogroup(beds.groupBy(ward)).applyInPandas(place, schema).unionByName(late)
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PLACE_FIRST)), F.col("infection_type")), F.lit(0)), F.lit(10))
+    people = patients.select(ward, F.col("patient_id").alias("_id"), F.struct(rank, "patient_id").alias("_order"), F.coalesce(F.concat(F.lit("="), F.col("gender").cast("string")), F.lit("")).alias("_class"), F.col("preferred").alias("_wish"))
+    asking = places.first_of(people, [ward, "_class", "_wish"], F.col("_order"), places.most_in(beds, [ward])).drop("_turn")
+    shared = F.max(F.col("capacity") > 1).over(Window.partitionBy(ward, "room_id"))
+    got = places.granted(asking, beds.select(ward, F.col("room_id").alias("room"), F.col("bed_id").alias("bed"), shared.alias("shared")), ward)
+    got = got.select(ward, F.col("_id").alias("patient_id"), F.col("bed").alias("bed_id"), F.col("room").alias("room_id"))
+    return patients.select(ward, "patient_id").join(got, [ward, "patient_id"], "left")
 
 
 def plan_transfers(patients: DataFrame, beds: DataFrame, ward: str = "ward") -> DataFrame:
@@ -141,33 +123,15 @@ def plan_with_fallback(patients: DataFrame, beds: DataFrame, site: str = "site",
     """(site, patient_id, to_ward, bed_id, status): in the order of ids, a patient gets the lowest free bed of its ward, or of the
     last ward by name that has one; where the site has none left, the case needs an exception.
 
-    Every patient takes a bed as long as there is one, so only as many patients as the site has beds
-    are looked at together, and these meet in one group; all others need an exception.
+    Given out in rounds over all sites (see `places`): a site takes at most as many as it has wards. Every
+    patient takes a bed as long as there is one, so only as many as the site has beds ask for one.
+    (site, patient_id) is a key; patients without a site need an exception.
     """
-    import pandas as pd
-
-    count = beds.groupBy(site).agg(F.count("*").alias("_beds"))
-    turn = F.row_number().over(Window.partitionBy(site).orderBy("patient_id"))
-    p = patients.select(site, ward, "patient_id").withColumn("_turn", turn).join(count, site, "left").withColumn("_in", F.coalesce(F.col("_turn") <= F.col("_beds"), F.lit(False)))
-    types = {f.name: f.dataType.simpleString() for f in [*patients.schema, *beds.schema]}
-
-    def plan(key, people: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
-        free = {w: sorted(g["bed_id"], reverse=True) for w, g in places.groupby(ward)}
-        out, spare = [], sorted(free)  # by name, the last first
-        for x in people.sort_values("patient_id").itertuples():
-            to = getattr(x, ward)
-            while not free.get(to):
-                free.pop(to, None)
-                to = spare[-1]
-                if not free.get(to):
-                    spare.pop()
-            out.append((key[0], x.patient_id, to, free[to].pop(), "PLANNED"))
-        return pd.DataFrame(out, columns=[site, "patient_id", "to_ward", "bed_id", "status"])
-
-    schema = f"{site} {types[site]}, patient_id {types['patient_id']}, to_ward {types[ward]}, bed_id {types['bed_id']}, status string"
-    planned = p.where("_in").groupBy(site).cogroup(beds.groupBy(site)).applyInPandas(plan, schema)
-    late = p.where("NOT _in").select(site, "patient_id", F.lit(None).cast(types[ward]).alias("to_ward"), F.lit(None).cast(types["bed_id"]).alias("bed_id"), F.lit("NEEDS_EXCEPTION").alias("status"))
-    return planned.unionByName(late)
+    people = patients.select(site, F.col("patient_id").alias("_id"), F.col("patient_id").alias("_order"), F.lit("").alias("_class"), F.array(ward).alias("_wish"))
+    asking = places.first_of(people, [site], F.col("_order"), places.most_in(beds, [site])).drop("_turn")
+    got = places.granted(asking, beds.select(site, F.col(ward).alias("room"), F.col("bed_id").alias("bed"), F.lit(False).alias("shared")), site, last=True)
+    got = got.select(site, F.col("_id").alias("patient_id"), F.col("room").alias("to_ward"), F.col("bed").alias("bed_id"), F.lit("PLANNED").alias("status"))
+    return patients.select(site, "patient_id").join(got, [site, "patient_id"], "left").withColumn("status", F.coalesce("status", F.lit("NEEDS_EXCEPTION")))
 
 
 def detached(rows: DataFrame, gone: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -177,8 +141,12 @@ def detached(rows: DataFrame, gone: DataFrame, key: str, cols: list[str]) -> Dat
     return j.select(*[F.when(F.col("_gone"), None).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in rows.columns])
 
 
-def updated(rows: DataFrame, changes: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """An update by a join: rows whose key is among the changes, one row per key, take their values, nulls too."""
-    new = changes.select(key, F.struct(*cols).alias("_new"))
-    j = rows.join(new, key, "left")
+def updated(rows: DataFrame, changes: DataFrame, key: str, cols: list[str], newest: Column | None = None) -> DataFrame:
+    """An update by a join: rows whose key is among the changes take their values, nulls too.
+
+    Of several changes of a key the one with the greatest `newest` wins; without it, they are an error.
+    """
+    value = F.struct(*cols)
+    one = F.max_by(value, newest) if newest is not None else F.when(F.count("*") == 1, F.first(value)).otherwise(F.raise_error(F.concat(F.lit("changed more than once: "), F.col(key).cast("string"))))
+    j = rows.join(changes.groupBy(key).agg(one.alias("_new")), key, "left")
     return j.select(*[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in rows.columns])

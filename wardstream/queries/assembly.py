@@ -186,10 +186,10 @@ def detach_and_update(spark, sf):
 
 @R.add()
 def transfer_cases(spark, sf):
-    """Each patient gets the next bed of its ward, or of the first ward of its region that has one: what one gets depends on
+    """Each patient gets the next bed of its ward, or of the last ward of its region that has one: what one gets depends on
     all before, so SQL has no form for it; tests compare with a plain loop."""
     n = F.broadcast(table(spark, sf, "nation").select("n_nationkey", "n_regionkey"))  # a table of fixed size
-    p = table(spark, sf, "customer").where("c_acctbal > 5000").join(n, c("c_nationkey") == c("n_nationkey")).select(c("n_regionkey").alias("site"), c("c_nationkey").alias("ward"), c("c_custkey").alias("patient_id"))
+    p = table(spark, sf, "customer").join(n, c("c_nationkey") == c("n_nationkey")).select(c("n_regionkey").alias("site"), c("c_nationkey").alias("ward"), c("c_custkey").alias("patient_id"))
     b = table(spark, sf, "supplier").join(n, c("s_nationkey") == c("n_nationkey")).select(c("n_regionkey").alias("site"), c("s_nationkey").alias("ward"), c("s_suppkey").alias("bed_id"))
     return serving.plan_with_fallback(p, b)
 

@@ -36,9 +36,9 @@ def division_having(spark, sf):
     return e.groupBy("user_id").agg(F.countDistinct("event_type").alias("n")).where("n = 4").select("user_id")
 
 
-@R.add("SELECT user_id, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS types FROM events WHERE value > 80 GROUP BY user_id")
+@R.add("SELECT user_id, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS types FROM events GROUP BY user_id")
 def listagg_types(spark, sf):
-    return table(spark, sf, "events").where("value > 80").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ", ").alias("types"))
+    return table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ", ").alias("types"))
 
 
 @R.add("""SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%ring%' THEN 'fastener' WHEN lower(p_name) LIKE '%bolt%' OR lower(p_name) LIKE '%nut%' THEN 'hardware' WHEN p_type LIKE 'S%' THEN 'small' ELSE 'other' END AS class,
@@ -158,9 +158,9 @@ def collect_children(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_set("o_orderstatus")), "|").alias("statuses"), text.alias("orders"))
 
 
-@R.add("""SELECT l_orderkey, l_partkey, l_linenumber, p_type, s_name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45""")
+@R.add("""SELECT l_orderkey, l_partkey, l_linenumber, p_type, s_name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey""")
 def dimension_lookup(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     p = table(spark, sf, "part").where("p_size > 10").select(c("p_partkey").alias("l_partkey"), "p_type")
     return l.join(p, "l_partkey", "left").join(table(spark, sf, "supplier").select(c("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey", "left").select("l_orderkey", "l_partkey", "l_linenumber", "p_type", "s_name")
 
@@ -186,9 +186,9 @@ def ordered_pairing(spark, sf):
     return serving.pair_in_order(l, r, ["user_id"], "event_id", "span_id")
 
 
-@R.add("SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) END AS cohort FROM events WHERE value > 120 GROUP BY user_id")
+@R.add("SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) END AS cohort FROM events GROUP BY user_id")
 def single_valued_set(spark, sf):
-    return table(spark, sf, "events").where("value > 120").groupBy("user_id").agg(serving.single_value(c("event_type")).alias("cohort"))
+    return table(spark, sf, "events").groupBy("user_id").agg(serving.single_value(c("event_type")).alias("cohort"))
 
 
 @R.add("""SELECT s_suppkey, CASE WHEN busy THEN 'OCCUPIED' WHEN last + INTERVAL 48 HOUR > TIMESTAMP '2000-01-01' THEN 'CLEANING' ELSE 'AVAILABLE' END AS status FROM supplier LEFT JOIN
@@ -267,11 +267,11 @@ def scoped_delete(spark, sf):
     return serving.delete_scope(table(spark, sf, "lineitem"), scope, "l_orderkey").select("l_orderkey", "l_partkey", "l_linenumber")
 
 
-@R.add("""SELECT n_name, k, c_custkey, s_suppkey FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer WHERE c_acctbal > 5000) LEFT JOIN
+@R.add("""SELECT n_name, k, c_custkey, s_suppkey FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) LEFT JOIN
   (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k2 FROM supplier) ON s_nationkey = c_nationkey AND k = k2 JOIN nation ON n_nationkey = c_nationkey""")
 def transfer_plan(spark, sf):
     w = Window.partitionBy("n_nationkey")
-    p = table(spark, sf, "customer").where("c_acctbal > 5000").select(c("c_nationkey").alias("n_nationkey"), "c_custkey", F.lit(0).alias("priority"), c("c_custkey").alias("patient_id"))
+    p = table(spark, sf, "customer").select(c("c_nationkey").alias("n_nationkey"), "c_custkey", F.lit(0).alias("priority"), c("c_custkey").alias("patient_id"))
     b = table(spark, sf, "supplier").select(c("s_nationkey").alias("n_nationkey"), "s_suppkey", c("s_suppkey").alias("bed_id"))
     n = F.broadcast(table(spark, sf, "nation").select("n_nationkey", "n_name"))  # a table of fixed size
     return serving.plan_transfers(p, b, "n_nationkey").join(n, "n_nationkey").select("n_name", F.row_number().over(w.orderBy("c_custkey")).cast("long").alias("k"), "c_custkey", "s_suppkey")
