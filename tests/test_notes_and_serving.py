@@ -193,3 +193,32 @@ def test_iso_times(spark):
     texts = ["2024-02-29T10:00:00Z", " 2024-02-29 10:00+02:00 ", "2024-02-29", "2023-02-29", "2024", "", None, "at 2024-02-29", "2024-02-29T25:00:00Z"]
     r = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.unix_seconds(iso_time(F.col("t"))).alias("s"), age_at(F.lit(40), F.lit(2020), iso_time(F.col("t"))).alias("age")).orderBy("i").collect()
     assert [x["s"] for x in r] == [1709200800, 1709193600, 1709164800] + [None] * 6 and [x["age"] for x in r] == [44] * 3 + [None] * 6
+
+
+def test_database(spark):
+    """Against the Derby that ships with Spark, as one task, split by a number, and split by predicates."""
+    import glob
+    import os
+
+    import pyspark
+    import pytest
+
+    if not glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "derby-*.jar")):
+        pytest.skip("no Derby here")
+    url, how = "jdbc:derby:memory:wards;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.range(100).select(F.col("id").alias("K"), (F.col("id") % 7).alias("V")).write.jdbc(url, "T", properties=how)
+    want = sorted((i, i % 7) for i in range(100) if i % 7 > 2)
+    query = "SELECT K, V FROM T WHERE V > 2"
+    for split, tasks in (({}, 1), ({"column": "K", "bounds": (0, 100), "parts": 4}, 4), ({"predicates": ["K < 50", "K >= 50"]}, 2)):
+        df = readers.jdbc(spark, url, query, **split, **how)
+        assert sorted(map(tuple, df.collect())) == want and df.rdd.getNumPartitions() == tasks
+
+
+def test_specs(tmp_path):
+    import pytest
+
+    pytest.importorskip("yaml")
+    (tmp_path / "s.yaml").write_text("slots:\n  hr: {type: integer}\n")
+    assert readers.spec("s.yaml", (str(tmp_path),)) == {"slots": {"hr": {"type": "integer"}}} == readers.spec(str(tmp_path / "s.yaml"))
+    with pytest.raises(FileNotFoundError):
+        readers.spec("t.yaml", (str(tmp_path),))

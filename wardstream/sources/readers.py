@@ -15,10 +15,10 @@ def patient_of(path: Column) -> Column:
     return F.coalesce(*known, F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
 
 
-def documents(spark: SparkSession, root: str, schema: StructType | str | None = None) -> DataFrame:
-    """One row per element of `documents` in patient_*/hd_*.json; hd and d_number from the file, else from its name."""
+def documents(spark: SparkSession, root: str, schema: StructType | str | None = None, files: str = "*/hd_*.json") -> DataFrame:
+    """One row per element of `documents` in the files below root; hd and d_number from the file, else from its name."""
     reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
-    df = (reader.schema(schema) if schema else reader).json(f"{root}/*/hd_*.json").withColumn("_path", F.input_file_name())
+    df = (reader.schema(schema) if schema else reader).json(f"{root}/{files}").withColumn("_path", F.input_file_name())
     for c in ("hd", "d_number", "date"):
         df = df if c in df.columns else df.withColumn(c, F.lit(None).cast("string"))
     part = lambda g: F.regexp_extract("_path", r"hd_(\d+)_d([+-]?\d+)\.json", g).try_cast("int")
