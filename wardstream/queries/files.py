@@ -50,14 +50,14 @@ def registered_views(spark, sf):
     return spark.sql("SELECT o_orderstatus, c_mktsegment, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2")
 
 
-@R.add(f"""SELECT 'T' || user_id AS patient_id, CAST(day(ts) AS INTEGER) AS hd, CAST(min(CAST(ts AS DATE)) OVER (PARTITION BY user_id) AS VARCHAR) AS admit_date, event_type AS document_type, {K} AS k FROM events""")
+@R.add(f"""SELECT 'T' || user_id AS patient_id, CAST(min(day(ts)) OVER (PARTITION BY user_id) AS INTEGER) AS hd, CAST(min(CAST(ts AS DATE)) OVER (PARTITION BY user_id) AS VARCHAR) AS admit_date, event_type AS document_type, {K} AS k FROM events""")
 def nested_documents(spark, sf):
-    """A file per patient and day with an array of documents, in folders that name the patient; read back as rows with each patient's first date."""
+    """A file per patient with an array of documents, in folders that name the patient; read back as rows with each patient's first date."""
     to = folder(spark)
     e = table(spark, sf, "events").select(F.concat(F.lit("patient_T"), c("user_id").cast("string")).alias("folder"), F.dayofmonth("ts").alias("hd"), F.to_date("ts").cast("string").alias("date"), F.struct(c("event_type").alias("document_type"), _k().alias("k")).alias("d"))
-    days = e.groupBy("folder", "hd").agg(F.min("date").alias("date"), F.collect_list("d").alias("documents"))
-    days.select("folder", c("hd").alias("day"), "hd", F.lit(None).cast("int").alias("d_number"), "date", "documents").repartition("folder").write.partitionBy("folder", "day").option("maxRecordsPerFile", 1).json(to)
-    docs = readers.documents(spark, to, "hd string, d_number string, date string, documents array<struct<document_type:string,k:int>>", "*/*/*.json")
+    stays = e.groupBy("folder").agg(F.min("hd").alias("hd"), F.lit(None).cast("int").alias("d_number"), F.min("date").alias("date"), F.collect_list("d").alias("documents"))
+    stays.repartition("folder").write.partitionBy("folder").json(to)  # a file holds one patient, as a folder does
+    docs = readers.documents(spark, to, "hd string, d_number string, date string, documents array<struct<document_type:string,k:int>>", "*/*.json")
     return docs.join(readers.first_dates(docs), "patient_id").select("patient_id", "hd", "admit_date", "document_type", "k")
 
 
