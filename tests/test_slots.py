@@ -4,9 +4,13 @@ import json
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+from wardstream import queries as Q
 from wardstream.operators import slot_specs, slots
+from wardstream.queries import charts
 
 ODD = [
     None, "", " \n", "SPO2 97 SpO2: 40% sp o 2 88", "NRS 3/10, pain score: 11/10; 통증 7점", "no dyspnea, denies nausea; 설사 없음", "ＳＰＯ２ 95", "SIMPLE MASK then room air", "O2 5L → 2L", "suction, NEB, fluid bolus 시행",
@@ -56,3 +60,29 @@ def test_serialized_texts_are_json(spark):
     text = [r["value_text"] for r in slots.serialized(df, slot_specs.SLOTS).collect()]
     assert json.loads(text[0]) == odd and json.loads(text[1]) == {"status": "pos", "organism": odd[0]} and json.loads(text[2]) == {"status": odd[1], "organism": None}
     assert text[3:] == ["97", odd[0], "false"] and not re.search("\n", text[0])
+
+
+def test_copied_notes_are_tried_once_and_joined_to_all(spark):
+    kinds = ("nursing_note", "microbiology", "radiology", None)
+    rows = [(len(ODD) * 4 * r + 4 * i + j, k, t, (None, True, False)[r % 3]) for r in range(9) for i, t in enumerate(ODD) for j, k in enumerate(kinds)] + [(9999, "a\nb", "c SpO2 97", None), (9998, "a", "b\nc SpO2 97", None)]
+    df = spark.createDataFrame(rows, "document_id int, document_type string, raw_text string, notify_md boolean")
+    notes = slots.distinct_notes(df, notify_col="notify_md", rows_a_task=10)
+    # null and empty texts, and null flags and false ones, say the same
+    assert notes.count() == 4 * (len(ODD) - 1) * 2 + 2 and notes.rdd.getNumPartitions() > 10
+    steps = lambda d, by: slots.merged(slots.with_defaults(slots.extract(d, by, notify_col="notify_md"), by), by)
+    key = slots.note_id(F.col("raw_text"), F.col("document_type"), F.col("notify_md"))
+    got = df.select("document_id", key.alias("note_id")).join(steps(notes, "note_id"), "note_id").drop("note_id")
+    want = steps(df, "document_id").select(*got.columns)
+    assert got.count() == want.count() > 900 and got.exceptAll(want).isEmpty()
+    assert slots.distinct_notes(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["note_slots"])
+def test_queries_try_a_text_once(spark, monkeypatch, name):
+    read = []
+    monkeypatch.setattr(slots, "extract", lambda docs, *a, f=slots.extract, **b: read.append(docs.count()) or f(docs, *a, **b))
+    monkeypatch.setattr(charts, "_KEPT", {})
+    assert Q.QUERIES[name](spark, SMALL).count() > 0
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    n = events.select("event_type", "props").distinct().count()
+    assert 0 < read[0] <= n < events.count() and len(read) == 1

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import let, sorted_distinct
+from ..sources.stages import stage
 from . import slot_specs as S
 
 OBJ = "struct<status:string,organism:string>"
@@ -292,6 +293,26 @@ def extract(docs: DataFrame, id_col: str = "document_id", text_col: str = "raw_t
     return rows.select(id_col, "document_type", F.posexplode("s").alias("seq", "s")).select(id_col, "document_type", "seq", "s.*")
 
 
+def note_id(text: Column, kind: Column, told: Column | None = None) -> Column:
+    """A key of all that a note's slots depend on: its text, type and flag. Null and empty texts say the same, as do a null flag and false."""
+    flag = F.coalesce(told.cast("boolean"), F.lit(False)) if told is not None else F.lit(False)
+    key = F.sha2(F.concat_ws("\n", flag.cast("string"), F.coalesce(F.length(kind), F.lit(-1)).cast("string"), kind, F.coalesce(text, F.lit(""))), 256)
+    return F.coalesce(key, F.lit(""))  # never null, so that a join needs no filter that makes the text once more
+
+
+def distinct_notes(docs: DataFrame, text_col: str = "raw_text", type_col: str = "document_type", notify_col: str | None = None, rows_a_task: int = 2000) -> DataFrame:
+    """(note_id, document_type, raw_text, notify_md): each text of a type and flag once, whole, in partitions of some `rows_a_task` of them.
+
+    Notes are copied forward, and patterns cost far more than a row's bytes do, so texts are tried once and
+    dealt out by their number: what `extract` and the steps behind it find by note_id is joined to the
+    documents by `note_id`.
+    """
+    text, kind, told = F.col(text_col), F.col(type_col), F.col(notify_col) if notify_col else None
+    flag = F.coalesce(told.cast("boolean"), F.lit(False)) if notify_col else F.lit(False)
+    kept = stage(docs.select(note_id(text, kind, told).alias("note_id"), kind.alias("document_type"), F.coalesce(text, F.lit("")).alias("raw_text"), flag.alias("notify_md")).distinct())
+    return kept.repartition(max(1, -(-kept.count() // rows_a_task)), "note_id")
+
+
 def with_defaults(slots: DataFrame, id_col: str = "document_id") -> DataFrame:
     """Adds o2_device RA to documents with a saturation and no device."""
     per = slots.groupBy(id_col, "document_type").agg(F.max("seq").alias("seq"), F.bool_or(F.col("slot") == "spo2_value").alias("sat"), F.bool_or(F.col("slot") == "o2_device").alias("dev"))
