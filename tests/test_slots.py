@@ -77,7 +77,7 @@ def test_copied_notes_are_tried_once_and_joined_to_all(spark):
     assert slots.distinct_notes(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["note_slots", "slot_words", "slot_lists", "slot_lists", "slot_objects", "slot_objects", "slot_numbers"])
+@pytest.mark.parametrize("name", ["note_slots", "slot_words", "slot_lists", "slot_objects", "slot_numbers", "slot_evidence_split"])
 def test_queries_try_a_text_once(spark, monkeypatch, name):
     read = []
     monkeypatch.setattr(slots, "extract", lambda docs, *a, f=slots.extract, **b: read.append(docs.count()) or f(docs, *a, **b))
