@@ -3,8 +3,11 @@
 import itertools
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from wardstream.operators import tagger
 from wardstream.queries import entities
 
@@ -63,3 +66,33 @@ def test_held_out_patients(spark, sf_dir):
     assert a[None]["f1"] >= 0.99 and set(a) == {None, *entities.MARKS}
     same = out.select(F.explode("entities").alias("e"), "note").where("substr(note, e.start + 1, e.end - e.start) <> e.text")
     assert same.isEmpty()
+
+
+def test_copies_of_a_text_weigh_as_rows_do():
+    """One row of n copies leaves the weights and means that n rows leave, taken in turn."""
+    tags, buckets = tagger.tags_of(["X", "Y"]), 256
+    k, bars = len(tags), tagger.allowed(tags)
+    rng, rows = np.random.default_rng(5), []
+    for t in ("give ten mg now", "no ten of nine", "nine mg", "ten ten ten"):
+        words = t.split()
+        path = rng.integers(0, 2, len(words)) * 2 + 1  # no I-, so any path is allowed
+        rows.append((tagger.features(words, buckets).astype(np.int32).tobytes(), path.astype(np.int16).tobytes(), int(rng.integers(2, 9))))
+    rows.append((rows[-1][0], np.array([1, 3, 1], np.int16).tobytes(), 4))  # the same text, marked otherwise
+
+    class Sent:
+        value = (np.zeros((buckets, k)), np.zeros((k + 1, k)))
+
+    run = lambda data: pd.concat(tagger._pass(Sent, k, bars)([pd.DataFrame(data, columns=["found", "right", "copies"])]))
+    for rows_ in (rows, rows[:3], rows[:1]):
+        one, each = run(rows_), run([(f, y, 1) for i in range(9) for f, y, n in rows_ if i < n])
+        assert one["bucket"].tolist() == each["bucket"].tolist() and len(one) > 10
+        assert all(np.array_equal(a, b) for c in ("weights", "mean") for a, b in zip(one[c], each[c]))
+
+
+@pytest.mark.parametrize("name", ["learned_entities"])
+def test_queries_mark_and_tag_a_text_once(spark, monkeypatch, name):
+    read = []
+    monkeypatch.setattr(entities, "marked", lambda df, *a, f=entities.marked: read.append(df.count()) or f(df, *a))
+    monkeypatch.setattr(tagger, "tagged", lambda df, *a, f=tagger.tagged: read.append(df.count()) or f(df, *a))
+    assert entities.R.queries[name](spark, SMALL).count() > 5000
+    assert len(read) == 2 and 0 < max(read) <= 400  # of 1,000

@@ -5,6 +5,12 @@ changed is averaged by (feature, tag) in one aggregation; as many rounds as aske
 into a fixed number of buckets, so the model has a proven size (buckets x tags), whatever the corpus holds,
 and may be kept by the driver and sent to every task. Every labelled text is used, whole.
 
+Texts are dealt out with their copies, equal texts with equal spans: a task takes one of each text, then one
+more of each that has more, and so on. Once all were decoded right in a row, so are the rest, which are
+passed over at once. So the weights are those of all rows, while a copied text costs what it has to teach;
+where labels contradict each other, it costs a step for each copy, in one task. A task keeps what it has to
+take again: of some 4,000,000 characters.
+
 Texts that are null or empty have no spans. A text's words are one chain, whatever its length; memory grows
 with a text's words times tags. Equal texts get equal spans. Ties go to the earlier tag.
 """
@@ -124,8 +130,14 @@ def spans_of(words: list[tuple[int, int]], path: np.ndarray, tags: tuple[str, ..
     return out
 
 
-def prepared(df: DataFrame, text: str, spans: str, key: str, tags: tuple[str, ...], buckets: int) -> DataFrame:
-    """(key, found, right): the features of a text's words and their tags, made once for all rounds."""
+def copied(df: DataFrame, text: str, spans: str, key: str) -> DataFrame:
+    """(text, spans, copies, key): each pair of a text and its spans once, with the number of its rows and the least hash of their keys."""
+    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.coalesce(F.col(spans), F.array()).alias("spans"), F.xxhash64(F.col(key).cast("string")).alias("key"))
+    return stage(rows.groupBy("text", "spans").agg(F.count("*").alias("copies"), F.min("key").alias("key")))
+
+
+def prepared(rows: DataFrame, tasks: int, tags: tuple[str, ...], buckets: int) -> DataFrame:
+    """(key, copies, found, right): the features of a text's words and their tags, made once for all rounds."""
     at = {t: i for i, t in enumerate(tags)}
 
     def read(batches: Iterator) -> Iterator:
@@ -133,27 +145,28 @@ def prepared(df: DataFrame, text: str, spans: str, key: str, tags: tuple[str, ..
 
         for b in batches:
             out = []
-            for k, s, marks in zip(b["key"], b["text"], b["spans"]):
+            for k, n, s, marks in zip(b["key"], b["copies"], b["text"], b["spans"]):
                 found = [(x.start(), x.end(), x.group()) for x in TOKEN.finditer(s)]
                 if found:
-                    right = gold([x[:2] for x in found], marks if marks is not None else [], at)
-                    out.append((k, features([x[2] for x in found], buckets).astype(np.int32).tobytes(), right.astype(np.int16).tobytes()))
-            yield pd.DataFrame(out, columns=["key", "found", "right"])
+                    right = gold([x[:2] for x in found], marks, at)
+                    out.append((k, n, features([x[2] for x in found], buckets).astype(np.int32).tobytes(), right.astype(np.int16).tobytes()))
+            yield pd.DataFrame(out, columns=["key", "copies", "found", "right"])
 
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(spans).alias("spans"))
-    return stage(rows.mapInPandas(read, "key string, found binary, right binary"))
+    return stage(rows.repartition(tasks, "key").mapInPandas(read, "key long, copies long, found binary, right binary"))
 
 
 def fitted(df: DataFrame, text: str, spans: str, key: str, rounds: int = 8, buckets: int = 1 << 15, rows_a_task: int = 25_000) -> Tagger:
     """A tagger from texts with arrays of struct(start, end, label). Equal rows give equal weights, however they are partitioned: texts are dealt by a hash of `key` and read in its order.
 
-    A round's tasks hold some `rows_a_task` texts each, and at least four share them. Without a single span every word is O.
+    A round's tasks hold some `rows_a_task` different texts each, or 160 times as many characters, and at least four share them. Without a single span every word is O.
     """
-    labels = [r[0] for r in df.select(F.explode(F.col(spans)["label"]).alias("l")).where("l IS NOT NULL").distinct().collect()]
+    texts = copied(df, text, spans, key)
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    tasks = max(4, -(-n // rows_a_task), -(-size // (160 * rows_a_task)))
+    labels = [r[0] for r in texts.select(F.explode(F.col("spans")["label"]).alias("l")).where("l IS NOT NULL").distinct().collect()]
     tags = tags_of(labels)
     k, bars = len(tags), allowed(tags)
-    rows = prepared(df, text, spans, key, tags, buckets)
-    dealt = rows.repartition(max(4, -(-rows.count() // rows_a_task)), F.xxhash64("key")).sortWithinPartitions("key", "found", "right")
+    dealt = prepared(texts, tasks, tags, buckets).repartition(tasks, "key").sortWithinPartitions("key", "found", "right")
     emit, move, total_e, total_m = np.zeros((buckets, k)), np.zeros((k + 1, k)), np.zeros((buckets, k)), np.zeros((k + 1, k))
 
     for _ in range(rounds):
@@ -172,7 +185,7 @@ def fitted(df: DataFrame, text: str, spans: str, key: str, rounds: int = 8, buck
 
 
 def _pass(sent, k: int, bars: np.ndarray):
-    """A task's run through its texts: its last weights and their mean over its steps, a row for each bucket in use, then one for each row of `move`, and -1 to count tasks."""
+    """A task's run through its texts, each as often as it has copies, in turn: its last weights and their mean over its steps, a row for each bucket in use, then one for each row of `move`, and -1 to count tasks."""
 
     def train(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -180,20 +193,34 @@ def _pass(sent, k: int, bars: np.ndarray):
         w, m = (x.copy() for x in sent.value)
         # what was added, times when it was: the mean over all steps is the last value less this by the steps
         late_w, late_m, step = np.zeros_like(w), np.zeros_like(m), 0
+
+        def right(f: np.ndarray, y: np.ndarray) -> bool:
+            """A step: decodes a text, and corrects the weights where that is wrong."""
+            nonlocal step
+            p = viterbi(scored(w, f), m + bars)
+            if wrong := (p != y).any():
+                for t in np.flatnonzero(p != y):
+                    for d, g in ((1.0, y[t]), (-1.0, p[t])):
+                        np.add.at(w, (f[t], g), d)
+                        np.add.at(late_w, (f[t], g), d * step)
+                for path, d in ((y, 1.0), (p, -1.0)):
+                    before = np.concatenate(([k], path[:-1]))
+                    np.add.at(m, (before, path), d)
+                    np.add.at(late_m, (before, path), d * step)
+            step += 1
+            return not wrong
+
+        again, clean = [], True
         for b in batches:
-            for f, y in zip(b["found"], b["right"]):
+            for f, y, n in zip(b["found"], b["right"], b["copies"]):
                 f, y = np.frombuffer(f, np.int32).reshape(-1, WIDTH), np.frombuffer(y, np.int16).astype(np.int64)
-                p = viterbi(scored(w, f), m + bars)
-                if (p != y).any():
-                    for t in np.flatnonzero(p != y):
-                        for d, g in ((1.0, y[t]), (-1.0, p[t])):
-                            np.add.at(w, (f[t], g), d)
-                            np.add.at(late_w, (f[t], g), d * step)
-                    for path, d in ((y, 1.0), (p, -1.0)):
-                        before = np.concatenate(([k], path[:-1]))
-                        np.add.at(m, (before, path), d)
-                        np.add.at(late_m, (before, path), d * step)
-                step += 1
+                clean &= right(f, y)
+                if n > 1:
+                    again.append((f, y, n - 1))
+        while again and not clean:
+            clean = all([right(f, y) for f, y, _ in again])
+            again = [(f, y, n - 1) for f, y, n in again if n > 1]
+        step += sum(n for *_, n in again)  # whose texts were all decoded right with weights that are those of now
         if step:
             mean_w, mean_m = w - late_w / step, m - late_m / step
             used = np.flatnonzero((w != 0).any(1) | (mean_w != 0).any(1))

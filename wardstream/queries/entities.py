@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ner, tagger
+from ..operators import ner, slots, tagger
 from ..operators.forest import fold_of
 from ..sources.stages import stage
 from .common import Registry
@@ -19,6 +19,8 @@ MARKS = {
     "DYSPNEA": "dyspnea", "NAUSEA": "nausea", "ABX_EVENT": "vancomycin", "O2_DEVICE": r"\bNC\b", "O2_FLOW": r"\d+(?=L$)",
 }
 FOLDS = 4
+#: Different notes that a task tags.
+NOTES_A_TASK = 2000
 
 
 def marked(df: DataFrame, text: str) -> DataFrame:
@@ -28,17 +30,27 @@ def marked(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_marks", F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))))
 
 
+def _learned(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Notes by note_id, and each distinct note's spans and entities; the tagger saw three of four patients' notes, each as often as it stands there."""
+    k = slots.note_id(c("note"), c("kind"))
+    rows = _notes(spark, sf).select("event_id", "kind", "note", (fold_of(c("user_id"), FOLDS) == 0).alias("held_out"), k.alias("note_id"))
+    notes = stage(marked(slots.distinct_notes(rows, "note", "kind"), "raw_text").select("note_id", "document_type", "raw_text", "_marks"))
+    seen = rows.where("NOT held_out").select("event_id", "note_id").join(notes, "note_id")
+    model = tagger.fitted(seen, "raw_text", "_marks", "event_id")
+    return rows, stage(tagger.tagged(notes.repartition(max(1, -(-notes.count() // NOTES_A_TASK)), "note_id"), "raw_text", model))
+
+
 def learned(spark, sf) -> DataFrame:
     """Notes with their spans, and the entities of a tagger that saw three of four patients' notes; held_out says whose it didn't."""
-    notes = stage(marked(_notes(spark, sf).select("event_id", "kind", "note", (fold_of(c("user_id"), FOLDS) == 0).alias("held_out")), "note"))
-    model = tagger.fitted(notes.where("NOT held_out"), "note", "_marks", "event_id")
-    return tagger.tagged(notes, "note", model)
+    rows, notes = _learned(spark, sf)
+    return rows.join(notes.select("note_id", "_marks", "entities"), "note_id").drop("note_id")
 
 
 @R.add()
 def learned_entities(spark, sf):
     """Every entity found in every note; the model is fitted, so tests hold decoding against enumeration and the spans of held-out patients against the marks."""
-    e = learned(spark, sf).select("event_id", "held_out", F.explode("entities").alias("e"))
+    rows, notes = _learned(spark, sf)
+    e = rows.select("event_id", "held_out", "note_id").join(stage(notes.select("note_id", F.explode("entities").alias("e"))), "note_id")
     return e.select("event_id", "held_out", "e.start", "e.end", "e.label", "e.text")
 
 
@@ -47,6 +59,8 @@ def learned_entities(spark, sf):
 SELECT event_id, x.slot AS slot, CAST(x.v AS DOUBLE) AS v_num FROM v WHERE x.v IS NOT NULL""")
 def learned_numbers(spark, sf):
     """The slots of numbers that learned entities fill; the SQL says what the notes hold."""
-    e = learned(spark, sf).select(c("event_id").alias("document_id"), c("kind").alias("document_type"), F.explode("entities").alias("e")).select("document_id", "document_type", "e.*").withColumn("score", F.lit(None).cast("double"))
+    rows, notes = _learned(spark, sf)
+    e = notes.select(c("note_id").alias("document_id"), "document_type", F.explode("entities").alias("e")).select("document_id", "document_type", "e.*").withColumn("score", F.lit(None).cast("double"))
     none = e.select("document_id", F.lit("").alias("slot")).where("false")
-    return ner.fill(e, none).where("v_num IS NOT NULL").select(c("document_id").alias("event_id"), "slot", "v_num")
+    filled = stage(ner.fill(e, none).where("v_num IS NOT NULL").select(c("document_id").alias("note_id"), "slot", "v_num"))
+    return rows.select("event_id", "note_id").join(filled, "note_id").drop("note_id")
