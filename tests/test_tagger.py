@@ -89,7 +89,7 @@ def test_copies_of_a_text_weigh_as_rows_do():
         assert all(np.array_equal(a, b) for c in ("weights", "mean") for a, b in zip(one[c], each[c]))
 
 
-@pytest.mark.parametrize("name", ["learned_entities"])
+@pytest.mark.parametrize("name", ["learned_entities", "learned_numbers"])
 def test_queries_mark_and_tag_a_text_once(spark, monkeypatch, name):
     read = []
     monkeypatch.setattr(entities, "marked", lambda df, *a, f=entities.marked: read.append(df.count()) or f(df, *a))
