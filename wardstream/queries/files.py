@@ -53,21 +53,19 @@ def registered_views(spark, sf):
 @R.add(f"""SELECT 'T' || user_id AS patient_id, CAST(min(day(ts)) OVER (PARTITION BY user_id) AS INTEGER) AS hd, CAST(min(CAST(ts AS DATE)) OVER (PARTITION BY user_id) AS VARCHAR) AS admit_date, event_type AS document_type, {K} AS k FROM events""")
 def nested_documents(spark, sf):
     """A file per patient with an array of documents, in folders that name the patient; read back as rows with each patient's first date."""
-    to = folder(spark)
     e = table(spark, sf, "events").select(F.concat(F.lit("patient_T"), c("user_id").cast("string")).alias("folder"), F.dayofmonth("ts").alias("hd"), F.to_date("ts").cast("string").alias("date"), F.struct(c("event_type").alias("document_type"), _k().alias("k")).alias("d"))
     stays = e.groupBy("folder").agg(F.min("hd").alias("hd"), F.lit(None).cast("int").alias("d_number"), F.min("date").alias("date"), F.collect_list("d").alias("documents"))
-    stays.repartition("folder").write.partitionBy("folder").json(to)  # a file holds one patient, as a folder does
-    docs = readers.documents(spark, to, "hd string, d_number string, date string, documents array<struct<document_type:string,k:int>>", "*/*.json")
+    schema = "hd string, d_number string, date string, documents array<struct<document_type:string,k:int>>"
+    docs = writers.file_each(stays, "folder", "json", lambda at: readers.documents(spark, at, schema, None))
     return docs.join(readers.first_dates(docs), "patient_id").select("patient_id", "hd", "admit_date", "document_type", "k")
 
 
 @R.add("""SELECT user_id, chr(CAST(65 + user_id % 26 AS INTEGER)) || lpad(CAST(user_id % 10 AS VARCHAR), 2, '0') AS infection_code, CASE WHEN user_id % 3 <> 1 THEN 'fever ' || user_id END AS diagnosis, strftime(min(ts), '%Y-%m-%d') AS admit_date FROM events GROUP BY user_id""")
 def profile_files(spark, sf):
     """A Markdown file per patient, and what its patterns name; null where a file doesn't."""
-    to, u = folder(spark), c("user_id")
+    u = c("user_id")
     head = F.concat(F.lit("# "), F.chr(u % 26 + 65), F.lpad((u % 10).cast("string"), 2, "0"), F.lit(" - profile\n"))
     reason = F.when(u % 3 != 1, F.concat(F.lit("- 입원 사유: **fever "), u.cast("string"), F.lit("**\n"))).otherwise("- nothing said\n")
     p = table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("t")).select("user_id", F.concat(head, reason, F.lit("입원일 "), F.date_format("t", "yyyy-MM-dd")).alias("value"))
-    p.repartition("user_id").write.partitionBy("user_id").text(to)
-    got = readers.profiles(spark, f"{to}/*/*.txt", readers.PROFILE)
+    got = writers.file_each(p, "user_id", "text", lambda at: readers.profiles(spark, at, readers.PROFILE))
     return got.select(F.regexp_extract("path", r"user_id=(\d+)", 1).cast("long").alias("user_id"), "infection_code", "diagnosis", "admit_date")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,25 @@ def patient_of(path: Column) -> Column:
     return F.coalesce(*known, F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
 
 
-def documents(spark: SparkSession, root: str, schema: StructType | str | None = None, files: str = "*/hd_*.json") -> DataFrame:
-    """One row per element of `documents` in the files below root; hd and d_number from the file, else from its name."""
+@contextmanager
+def listing(spark: SparkSession, tasks: int = 64) -> Iterator[None]:
+    """Folders below a path are listed by so many tasks, as by default each of up to 10,000 folders is a task of its own."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(tasks))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def documents(spark: SparkSession, root: str, schema: StructType | str | None = None, files: str | None = "*/hd_*.json") -> DataFrame:
+    """One row per element of `documents` in the files below root, all JSON files if `files` is None; hd and d_number from the file, else from its name."""
     reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
-    df = (reader.schema(schema) if schema else reader).json(f"{root}/{files}").withColumn("_path", F.input_file_name())
+    reader = reader.schema(schema) if schema else reader
+    with listing(spark):
+        df = reader.json(f"{root}/{files}") if files else reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+    df = df.withColumn("_path", F.input_file_name())
     for c in ("hd", "d_number", "date"):
         df = df if c in df.columns else df.withColumn(c, F.lit(None).cast("string"))
     part = lambda g: F.regexp_extract("_path", r"hd_(\d+)_d([+-]?\d+)\.json", g).try_cast("int")
@@ -78,8 +95,9 @@ def spec(path: str, roots: tuple[str, ...] = ()) -> dict:
 
 
 def profiles(spark: SparkSession, paths: str, patterns: dict[str, str]) -> DataFrame:
-    """(path, one column per pattern's first group) of whole text files, null where it doesn't match."""
-    t = spark.read.text(paths, wholetext=True).withColumn("path", F.input_file_name())
+    """(path, one column per pattern's first group) of whole text files, all that are below a folder, null where it doesn't match."""
+    with listing(spark):
+        t = spark.read.text(paths, wholetext=True, recursiveFileLookup="*" not in paths).withColumn("path", F.input_file_name())
     return t.select("path", *[F.nullif(F.regexp_extract("value", p, 1), F.lit("")).alias(n) for n, p in patterns.items()])
 
 

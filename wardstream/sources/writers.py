@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .stages import folder, stage
+
 
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -18,6 +22,26 @@ def csv(df: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
+def file_each(rows: DataFrame, key: str, kind: str, read: Callable[[str], DataFrame], rows_a_pass: int = 20_000, rows_a_task: int = 250) -> DataFrame:
+    """Writes a file of this kind for each row, in a folder that its key names, and gives what `read` makes of all of them.
+
+    Each key has one row. Spark's driver holds the name and status of every file that it commits or lists,
+    so files are written and read `rows_a_pass` at a time, and the driver's memory does not grow with the
+    rows. The files stay; what was read is kept as Parquet.
+    """
+    spark, to, parts, out = rows.sparkSession, *(folder(rows.sparkSession) for _ in range(3))
+    kept = stage(rows)
+    n = kept.count()
+    passes, tasks = max(1, -(-n // rows_a_pass)), max(1, -(-min(n, rows_a_pass) // rows_a_task))
+    dealt = kept.withColumn("_pass", F.pmod(F.xxhash64(key), F.lit(passes)).cast("int"))
+    dealt.write.partitionBy("_pass").parquet(parts)
+    dealt = spark.read.schema(dealt.schema).parquet(parts)
+    for i in range(passes):
+        dealt.where(F.col("_pass") == i).drop("_pass").repartition(tasks, key).write.partitionBy(key).format(kind).save(f"{to}/{i}")
+        read(f"{to}/{i}").coalesce(tasks).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
 def nested(parents: DataFrame, children: dict[str, DataFrame], key: str) -> DataFrame:
     """Each parent with arrays of its children's rows, sorted; parents without any have empty arrays."""
     for name, c in children.items():
