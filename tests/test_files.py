@@ -35,7 +35,7 @@ def test_listing_is_given_back(spark):
     assert spark.conf.get(name) == before
 
 
-@pytest.mark.parametrize("name", ["nested_documents"])
+@pytest.mark.parametrize("name", ["nested_documents", "profile_files"])
 def test_queries_hold_few_files_at_once(spark, monkeypatch, name):
     reader, seen = {"nested_documents": "documents", "profile_files": "profiles"}[name], []
     monkeypatch.setattr(readers, reader, lambda s, at, *a, f=getattr(readers, reader): seen.append(len(below(at))) or f(s, at, *a))
